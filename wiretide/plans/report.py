@@ -132,8 +132,8 @@ def unanswered(
     answered = F.coalesce(
         (F.col("__rsp.role") != REQUEST) & (F.col("__rsp.device") == F.col("device")), F.lit(False)
     )
-    return comms_failures(asked.drop("__rsp").withColumn("answered", answered), F.col("answered"),
-                          [*keys, "device"], at_least, rows_per_cut)
+    flagged = asked.withColumn("answered", answered).drop("__rsp")
+    return comms_failures(flagged, F.col("answered"), [*keys, "device"], at_least, rows_per_cut)
 
 
 def report(walked: DataFrame, pairs: DataFrame, keys: Sequence[str] = KEYS) -> dict[str, DataFrame]:

@@ -114,13 +114,23 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
     """The capture's frames without going through text: what framing must find."""
     rows = with_bytes(exchanges(spark, folder))
     used = F.col("noise") + 8 + F.coalesce(F.length("rsp_raw"), F.lit(0))
-    placed = run(rows, ["capture_id"], ORDER).running_sum({"end": used.cast("bigint")}).done()
+    exchange = F.when(F.col("kind") != "write", F.col("kind"))
+    placed = (
+        run(rows, ["capture_id"], ORDER)
+        .running_sum({"end": used.cast("bigint")})
+        .last_known({"latest": exchange})
+        .done()
+    )
+    # A write looks the same in both directions: with an answer still missing it counts
+    # as that answer, and its echo as the next request.
+    turned = F.coalesce((F.col("kind") == "write") & (F.col("latest") == "silent"), F.lit(False))
+    roles = [F.when(turned, b).otherwise(a) for a, b in (("request", "response"), ("response", "request"))]
     request_off = F.col("end") - used + F.col("noise")
     code = F.when(F.col("kind") == "exception", F.col("fc") + 128).otherwise(F.col("fc"))
     both = F.array(
-        F.struct(request_off.alias("off"), F.col("req_ts").alias("ts"), F.lit("request").alias("role"),
+        F.struct(request_off.alias("off"), F.col("req_ts").alias("ts"), roles[0].alias("role"),
                  F.col("fc").alias("fc"), F.col("req_raw").alias("raw")),
-        F.struct((request_off + 8).alias("off"), F.col("rsp_ts").alias("ts"), F.lit("response").alias("role"),
+        F.struct((request_off + 8).alias("off"), F.col("rsp_ts").alias("ts"), roles[1].alias("role"),
                  code.alias("fc"), F.col("rsp_raw").alias("raw")),
     )
     spread = placed.select("capture_id", "device", F.explode(both).alias("f")).select("capture_id", "device", "f.*")
@@ -165,14 +175,22 @@ x AS (SELECT *, l_quantity=47 AND kind IN ('IR1','IR2','IR3') AS absent,
   FROM k),
 b AS (SELECT *, row_number() OVER w AS rn,
   CAST(sum(noise+8+rsp_len) OVER w AS BIGINT) - 8 - rsp_len AS req_off,
-  lag(kind) OVER w AS prev_kind
+  coalesce(last_value(CASE WHEN kind<>'write' THEN kind END IGNORE NULLS) OVER
+    (PARTITION BY capture_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
+     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'silent', false) AS lost
   FROM x WINDOW w AS (PARTITION BY capture_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-f AS (SELECT capture_id, req_off AS off, req_ts AS ts, 'request' AS role, device, fc, 8 AS len,
-        coalesce(prev_kind='silent', false) AS swap, noise AS gap FROM b
+f AS (SELECT capture_id, req_off AS off, req_ts AS ts, CASE WHEN lost AND kind='write' THEN 'response' ELSE 'request' END AS role,
+        device, fc, 8 AS len, lost AND kind<>'write' AS swap, noise AS gap, addr, "count", kind FROM b
       UNION ALL
-      SELECT capture_id, req_off+8, rsp_ts, 'response', device,
-        CASE WHEN kind='exception' THEN fc+128 ELSE fc END, rsp_len, false, 0 FROM b WHERE rsp_len>0)
+      SELECT capture_id, req_off+8, rsp_ts, CASE WHEN lost AND kind='write' THEN 'request' ELSE 'response' END, device,
+        CASE WHEN kind='exception' THEN fc+128 ELSE fc END, rsp_len, false, 0, addr, "count", kind FROM b WHERE rsp_len>0),
+p AS (SELECT capture_id, off AS req_off, device, fc, rsp_fc, ts AS req_ts, rsp_ts, addr, "count", kind FROM (
+        SELECT *, lead(role) OVER n AS rsp_role, lead(device) OVER n AS rsp_device, lead(fc) OVER n AS rsp_fc, lead(ts) OVER n AS rsp_ts
+        FROM f WINDOW n AS (PARTITION BY capture_id ORDER BY off))
+      WHERE role='request' AND rsp_role='response' AND device=rsp_device AND (fc=rsp_fc OR rsp_fc=fc+128)),
+e AS (SELECT b.* EXCLUDE (req_off, req_ts, rsp_ts), p.req_off, p.req_ts, p.rsp_ts FROM p JOIN b ON b.capture_id=p.capture_id
+      AND b.req_off=CASE WHEN b.lost AND p.kind='write' THEN p.req_off-8 ELSE p.req_off END)
 """
 
 
