@@ -41,14 +41,21 @@ def difference(
     return seen.withColumn(out, F.col(value) - F.col("__before")).drop("__before")
 
 
-def gap_ms(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, out: str = "gap_ms",
+def gap_us(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, out: str = "gap_us",
     rows_per_cut: int | None = None,
 ) -> DataFrame:
-    """Milliseconds since the row before."""
+    """Microseconds since the row before, as BIGINT so that sums are exact."""
     seen = run(df, keys, order, rows_per_cut).lag({"__before": F.col(ts)}).done()
-    micros = F.timestamp_diff("MICROSECOND", F.col("__before"), F.col(ts))
-    return seen.withColumn(out, micros / F.lit(1000.0)).drop("__before")
+    return seen.withColumn(out, F.timestamp_diff("MICROSECOND", F.col("__before"), F.col(ts))).drop("__before")
+
+
+def gap_summary(gaps: DataFrame, keys: Sequence[str], gap: str = "gap_us") -> DataFrame:
+    """Rows per key and mean, least and greatest gap in milliseconds."""
+    out = {"avg_ms": F.avg(gap), "min_ms": F.min(gap), "max_ms": F.max(gap)}
+    return gaps.groupBy(*keys).agg(
+        F.count("*").alias("requests"), *[(c / F.lit(1000.0)).alias(n) for n, c in out.items()]
+    )
 
 
 def bit_transitions(

@@ -267,6 +267,13 @@ def run(
     return Run(mark_cuts(df, keys, order, cuts), keys, order, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Before costly per-row work: at least one task per core if the input comes in fewer.
+    Inputs with enough splits are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Checkpoint an expensive intermediate that later steps read more than once.
     Uses ``spark.checkpoint.dir``; small results are simply recomputed."""

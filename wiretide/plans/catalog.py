@@ -316,14 +316,13 @@ def latency_by_type(spark, folder):
     return rows.select("rsp_type", "n", *[_r(c) for c in ("avg_ms", "min_ms", "max_ms", "p50", "p95")])
 
 
-@query("""SELECT user_id, event_type, count(*) AS requests, round(avg(gap), 3) AS avg_ms, round(min(gap), 6) AS min_ms, round(max(gap), 6) AS max_ms
-FROM (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id))) / 1000.0 AS gap FROM events)
+@query("""SELECT user_id, event_type, count(*) AS requests, round(avg(gap) / 1000.0, 2) AS avg_ms, min(gap) / 1000.0 AS min_ms, max(gap) / 1000.0 AS max_ms
+FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) AS gap FROM events)
 GROUP BY 1, 2""")
 def cadence_by_type(spark, folder):
     by = ["user_id", "event_type"]
-    gaps = changes.gap_ms(events(spark, folder), by, ORDER, "ts", "gap")
-    rows = gaps.groupBy(*by).agg(F.count("*").alias("requests"), F.avg("gap").alias("avg_ms"), F.min("gap").alias("min_ms"), F.max("gap").alias("max_ms"))
-    return rows.select(*by, "requests", _r("avg_ms", 3), _r("min_ms"), _r("max_ms"))
+    rows = changes.gap_summary(changes.gap_us(events(spark, folder), by, ORDER, "ts"), by)
+    return rows.withColumn("avg_ms", F.round("avg_ms", 2))
 
 
 # -- statistics ---------------------------------------------------------------------
@@ -827,7 +826,7 @@ SERIAL = "01122334"
 
 
 @query(capture.sql(f"""SELECT capture_id, count(*) AS frames, count(*) FILTER (serial LIKE '%{SERIAL}%') AS masked, count(*) AS valid FROM (
-SELECT capture_id, CASE WHEN kind='IR1' AND NOT absent THEN {' || '.join(f"chr({capture.sql_sent(i)} >> 8) || chr({capture.sql_sent(i)} & 255)" for i in range(10))} ELSE '' END AS serial FROM b WHERE kind IN ('HR', 'IR1', 'IR2', 'IR3')) GROUP BY 1"""))
+SELECT capture_id, CASE WHEN fc=4 THEN {' || '.join(f"chr({capture.sql_sent(i)} >> 8) || chr({capture.sql_sent(i)} & 255)" for i in range(10))} ELSE '' END AS serial FROM b WHERE kind IN ('HR', 'IR1', 'IR2', 'IR3')) GROUP BY 1"""))
 def wire_redacted(spark, folder):
     """Serials masked inside frames; the frames stay valid."""
     reads = capture.frames(spark, folder).where((F.col("role") == "response") & F.col("fc").isin(3, 4))

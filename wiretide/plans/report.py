@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wiretide.functions.binary import u8, u16
 from wiretide.functions.scalar import duration_ms
-from wiretide.operators.changes import gap_ms, islands
+from wiretide.operators.changes import gap_summary, gap_us, islands
 from wiretide.operators.framing import EXCEPTION, READ_HOLDING, READ_INPUT, REQUEST, WRITE_SINGLE, frames_only
 from wiretide.operators.stats import with_quantiles
 
@@ -41,11 +41,8 @@ def cadence(pairs: DataFrame, keys: Sequence[str] = KEYS, rows_per_cut: int | No
     """Gap between consecutive requests of the same read query."""
     reads = pairs.where(F.col("fc").isin(READ_HOLDING, READ_INPUT))
     by = [*keys, *QUERY]
-    gaps = gap_ms(reads.select(*by, "pair_off", "req_ts"), by, ["pair_off"], "req_ts", "gap", rows_per_cut)
-    return gaps.groupBy(*by).agg(
-        F.count("*").alias("requests"), F.avg("gap").alias("avg_ms"),
-        F.min("gap").alias("min_ms"), F.max("gap").alias("max_ms"),
-    )
+    gaps = gap_us(reads.select(*by, "pair_off", "req_ts"), by, ["pair_off"], "req_ts", "gap_us", rows_per_cut)
+    return gap_summary(gaps, by)
 
 
 def latency(

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretide.functions.binary import byte_bytes, word_bytes
-from wiretide.operators.decode import request_body, response_body, sealed, words_binary
-from wiretide.operators.runs import run
+from wiretide.operators.decode import request_body, sealed, words_binary
+from wiretide.operators.runs import run, spread
 from wiretide.sources.hexdump import format_hexdump
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -39,7 +39,7 @@ def block_word(i: Column) -> Column:
 
 def exchanges(spark: SparkSession, folder: str) -> DataFrame:
     """One row per exchange: keys, kind, request fields, times and data words."""
-    rows = spark.read.parquet(f"{folder}/lineitem.parquet").select(*ORDER, "l_quantity")
+    rows = spread(spark.read.parquet(f"{folder}/lineitem.parquet").select(*ORDER, "l_quantity"))
     line, qty = F.col("l_linenumber"), F.col("l_quantity")
     kind = (
         F.when(qty == 50, "write").when(qty == 49, "exception").when(qty == 48, "silent")
@@ -78,14 +78,31 @@ def exchanges(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _plain_data(count: Column) -> Column:
+    """Plain words as bytes, four to a BIGINT so that a block takes few conversions."""
+    base = F.col("l_orderkey") * 31 + F.col("l_partkey") * 7
+
+    def quad(at: Column) -> Column:
+        first = base + at * 1028
+        words = [(first + i * 257).bitwiseAND(F.lit(65535)) for i in range(4)]
+        packed = F.shiftleft(words[0], 48) + F.shiftleft(words[1], 32) + F.shiftleft(words[2], 16) + words[3]
+        return F.lpad(F.hex(packed), 16, "0")
+
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((count - 1) / 4).cast("int")), quad), "")
+    return F.unhex(F.substring(text, F.lit(1), 4 * count))
+
+
 def with_bytes(rows: DataFrame) -> DataFrame:
     """Add ``req_raw`` and ``rsp_raw`` (NULL when unanswered), CRC included."""
-    data = words_binary(F.transform(F.sequence(F.lit(0), F.col("count") - 1), block_word))
+    special = F.col("absent") | (F.col("kind") == "IR1")
+    block = F.transform(F.sequence(F.lit(0), F.col("count") - 1), block_word)
+    data = F.when(special, words_binary(block)).otherwise(_plain_data(F.col("count")))
+    head = F.when(F.col("fc") == 3, byte_bytes(2 * F.col("count"))).otherwise(word_bytes(F.col("addr")))
     request = request_body(F.col("device"), F.col("fc"), F.col("addr"), F.col("count"))
     answer = (
         F.when(F.col("kind") == "write", request)
         .when(F.col("kind") == "exception", F.concat(byte_bytes(F.col("device")), byte_bytes(F.col("fc") + 128), F.unhex(F.lit("02"))))
-        .when(F.col("kind") != "silent", response_body(F.col("device"), F.col("fc"), F.col("addr"), data))
+        .when(F.col("kind") != "silent", F.concat(byte_bytes(F.col("device")), byte_bytes(F.col("fc")), head, data))
     )
     return sealed(sealed(rows.withColumns({"req_raw": request, "rsp_raw": answer}), "req_raw"), "rsp_raw")
 
