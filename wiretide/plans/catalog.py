@@ -316,13 +316,12 @@ def latency_by_type(spark, folder):
     return rows.select("rsp_type", "n", *[_r(c) for c in ("avg_ms", "min_ms", "max_ms", "p50", "p95")])
 
 
-@query("""SELECT user_id, event_type, count(*) AS requests, round(avg(gap) / 1000.0, 2) AS avg_ms, min(gap) / 1000.0 AS min_ms, max(gap) / 1000.0 AS max_ms
+@query("""SELECT user_id, event_type, count(*) AS requests, avg(gap) / 1000.0 AS avg_ms, min(gap) / 1000.0 AS min_ms, max(gap) / 1000.0 AS max_ms
 FROM (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)) AS gap FROM events)
 GROUP BY 1, 2""")
 def cadence_by_type(spark, folder):
     by = ["user_id", "event_type"]
-    rows = changes.gap_summary(changes.gap_us(events(spark, folder), by, ORDER, "ts"), by)
-    return rows.withColumn("avg_ms", F.round("avg_ms", 2))
+    return changes.gap_summary(changes.gap_us(events(spark, folder), by, ORDER, "ts"), by)
 
 
 # -- statistics ---------------------------------------------------------------------
