@@ -3,7 +3,8 @@
 Each processor keeps one key's state and needs the RocksDB state store provider
 (:func:`use_rocksdb`). Rows of a key are put in order inside a micro-batch; across
 micro-batches arrival order counts, as it does on the wire. ``ttl_ms`` drops the state of
-keys that fall silent.
+keys that fall silent; it works on processing time, so use it with a trigger that keeps
+running (an available-now query with it does not end by itself).
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ class StepProcessor(StatefulProcessor):
         self.state.update((json.dumps(state, sort_keys=True), base + self.step.weight(batch)))
         if out is not None and len(out):
             fixed = pd.DataFrame({k: [v] * len(out) for k, v in zip(self.keys, key)})
-            out = out.reset_index(drop=True)
-            yield pd.concat([fixed, out], axis=1)[self.columns]
+            own = [c for c in self.columns if c not in self.keys]
+            yield pd.concat([fixed, out[own].reset_index(drop=True)], axis=1)[self.columns]
 
     def close(self) -> None:
         pass
@@ -104,7 +105,7 @@ def stream_min_gap(
     packed = F.to_json(F.struct(*data), {"ignoreNullFields": "false"}) if data else F.lit(None).cast("string")
     carried = [*order, *[d for d in data if d not in order]]
     slim = df.select(
-        *keys, *carried, F.timestamp_diff("MICROSECOND", epoch, F.col(ts)).alias("__us"), packed.alias("__data")
+        *keys, *carried, F.timestamp_diff("MICROSECOND", epoch, F.col(ts)).alias("at_us"), packed.alias("packed_data")
     )
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)
     step = MinGap(round(gap_seconds * 1_000_000), bool(data), ddl)
@@ -186,7 +187,8 @@ def stream_last_known(
     ttl_ms: int | None = None,
 ) -> DataFrame:
     slim = registers.select(*keys, *order, "device", "fc", "reg", "value")
-    schema = StructType([slim.schema[k] for k in keys]).add("device", "int").add("fc", "int").add("reg", "int").add("value", "int")
+    image = StructType.fromDDL("device int, fc int, reg int, value int")
+    schema = StructType([*[slim.schema[k] for k in keys], *image.fields])
     return slim.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=LastKnown(keys, order, ttl_ms),
         outputStructType=schema,
