@@ -86,7 +86,7 @@ def cell_array(cells: Sequence[Column]) -> Column:
     return F.array(*cells)
 
 
-def _carries_registers() -> tuple[Column, Column]:
+def carries_registers() -> tuple[Column, Column]:
     """Whether a pair's response carries all requested registers, and where they start."""
     raw, count = F.col("rsp_raw"), F.col("count")
     plain = F.col("rsp_fc") != F.col("fc").bitwiseOR(F.lit(EXCEPTION))
@@ -112,7 +112,7 @@ def _writes_register() -> Column:
 def register_rows(pairs: DataFrame, keys: Sequence[str] = ("capture_id",)) -> DataFrame:
     """One row per register a pair updates. Reads take the response's words; a write
     takes the request's."""
-    whole, start = _carries_registers()
+    whole, start = carries_registers()
     reads = F.transform(
         F.sequence(F.lit(0), F.col("count") - 1),
         lambda i: F.struct(
@@ -129,7 +129,7 @@ def register_rows(pairs: DataFrame, keys: Sequence[str] = ("capture_id",)) -> Da
 
 def register_value(device: int, fc: int, reg: int) -> Column:
     """Value a pair gives one register, or NULL; the same rules without an explode."""
-    whole, start = _carries_registers()
+    whole, start = carries_registers()
     mine = (F.col("device") == device) & (F.col("fc") == fc)
     at = F.lit(reg) - F.col("addr")
     read = mine & at.between(0, F.col("count") - 1) & whole

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 MAX_CUTS = 4096
 ROWS_PER_CUT = 4_000_000
-WHOLE_KEY_BYTES = 256 << 20  # below this estimate every key fits one task
+WHOLE_KEY_BYTES = 64 << 20  # below this estimate every key fits one task
 SAMPLES_PER_CUT = 40
 
 CUT = "__cut"

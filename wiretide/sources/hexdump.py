@@ -35,20 +35,19 @@ _MARK = "\x01"
 
 
 def _parts(value: str) -> Column:
-    """Timestamp, offset and hex text of a good line (after an empty first element), else
-    NULL. The pattern runs once: it rewrites a good line and leaves others alone."""
+    """A good line's timestamp, offset and hex text after an empty first element; one
+    element for other lines. The pattern runs once: it rewrites a good line."""
     rewritten = F.regexp_replace(value, LINE_PATTERN, f"{_MARK}$1{_MARK}$2{_MARK}$3")
-    parts = F.split(rewritten, _MARK)
-    return F.when(F.size(parts) == 4, parts)
+    return F.split(rewritten, _MARK)
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Byte chunks of well-formed lines; other lines are skipped. The offset column is
     informative only: chunks follow each other in file order."""
     kept = [c for c in lines.columns if c != value]
-    # explode keeps the filter below from evaluating the pattern a second time
-    good = lines.select(*kept, F.explode(F.array_compact(F.array(_parts(value)))).alias("p"))
-    fields = good.select(
+    # explode keeps the filters below from evaluating the pattern again
+    parts = lines.select(*kept, F.explode(F.array(_parts(value))).alias("p")).where(F.size("p") == 4)
+    fields = parts.select(
         *kept,
         F.col("p")[1].try_cast("timestamp_ntz").alias("ts"),
         F.conv(F.col("p")[2], 16, 10).cast("bigint").alias("offset"),
@@ -59,7 +58,7 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def rejected_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """How many lines per capture :func:`parse_lines` skips."""
-    bad = _parts(value)[1].try_cast("timestamp_ntz").isNull()
+    bad = F.get(_parts(value), F.lit(1)).try_cast("timestamp_ntz").isNull()
     return lines.groupBy("capture_id").agg(F.count("*").alias("lines"), F.count_if(bad).alias("rejected"))
 
 
@@ -83,16 +82,19 @@ def format_hexdump(flushes: DataFrame, order: Sequence[str], rows_per_cut: int |
     pieces = F.sequence(F.lit(0), F.length("bytes") - 1, F.lit(BYTES_PER_LINE))
     rows = (
         placed.where(size > 0)
+        .withColumn("__stamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"))
         .withColumn("piece", F.explode(pieces))
         .withColumn("__at", F.col("__end") - size + F.col("piece"))
         .withColumn("__part", F.substring("bytes", F.col("piece") + 1, F.lit(BYTES_PER_LINE)))
     )
-    pairs = F.rpad(F.regexp_replace(F.hex("__part"), "(..)", "$1 "), 3 * BYTES_PER_LINE, " ")
+    pairs = F.rpad(F.regexp_replace(F.hex("__part"), "..", "$0 "), 3 * BYTES_PER_LINE, " ")
     text = F.regexp_replace(F.decode("__part", "ISO-8859-1"), r"[^\x20-\x7E]", ".")
+    digits = F.lower(F.hex("__at"))
+    offset = F.when(F.length(digits) < 8, F.lpad(digits, 8, "0")).otherwise(digits)
     line = F.concat(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"),
+        F.col("__stamp"),
         F.lit("  "),
-        F.format_string("%08x", "__at"),
+        offset,
         F.lit("  "),
         pairs,
         F.lit(" |"),
