@@ -834,6 +834,31 @@ def wire_redacted(spark, folder):
     return hidden.groupBy("capture_id").agg(F.count("*").alias("frames"), F.count_if(masked & (F.col("fc") == 4)).alias("masked"), F.count_if("ok").alias("valid"))
 
 
+_CELLS = "[" + ", ".join(capture.sql_sent(i) for i in range(16)) + "]"
+
+
+@query(capture.sql(f"""SELECT capture_id, pair_off, device, list_min(cells) AS "MinCellVoltage", list_max(cells) AS "MaxCellVoltage",
+CAST(list_position(cells, list_min(cells)) AS INTEGER) AS "MinCellId", CAST(list_position(cells, list_max(cells)) AS INTEGER) AS "MaxCellId"
+FROM (SELECT capture_id, req_off AS pair_off, device, {_CELLS} AS cells FROM e WHERE kind='IR3')"""))
+def wire_cell_extremes(spark, folder):
+    wire = wire_table(pair_frames(capture.frames(spark, folder)), fields=[f for f in STANDARD if f.name.startswith("cell_") and f.block == "IR3"])
+    cells = F.array(*[F.col(f"cell_{i}_mV") for i in range(16)])
+    units = telemetry.other_protocol_units(wire.where((F.col("fc") == 4) & (F.col("addr") == 40)), cells)
+    return units.select("capture_id", "pair_off", "device", "MinCellVoltage", "MaxCellVoltage", "MinCellId", "MaxCellId")
+
+
+@query(capture.sql(f"""SELECT capture_id, device, pair_off, ts, before AS prev_value, online AS new_value FROM (
+SELECT *, lag(online) OVER (PARTITION BY capture_id, device ORDER BY pair_off) AS before FROM (
+SELECT capture_id, device, req_off AS pair_off, rsp_ts AS ts, {capture.sql_sent(11)} // 8192 AS online FROM e WHERE kind='HR')) WHERE before <> online"""))
+def wire_capacity_changes(spark, folder):
+    """Steps of the online-capacity register, in coarse units."""
+    pairs = pair_frames(capture.frames(spark, folder))
+    wire = wire_table(pairs, fields=[f for f in EXTENDED if f.name == "hr11_online_Ah"])
+    steps = wire.withColumn("online", F.floor(F.col("hr11_online_Ah") / 8192).cast("int"))
+    found = changes.changes(steps, ["capture_id", "device"], ["pair_off"], "online")
+    return found.select("capture_id", "device", "pair_off", "ts", "prev_value", "new_value")
+
+
 _JOINED = f"""SELECT w.capture_id, w.pair_off, w.ts, w.device, w.fc, w.addr, p.o_totalprice AS tcp_price, p.o_orderkey AS tcp_order, t.o_orderpriority AS active_tag,
 CASE WHEN t.o_orderkey IS NOT NULL THEN 'manual' END AS tag_source, CAST(CASE WHEN kind='HR' THEN {_s16_sql(capture.sql_sent(23))} END AS INTEGER) AS "hr23_pack_current_cA",
 CAST(CASE WHEN kind='IR2' THEN {capture.sql_sent(12)} & 255 END AS INTEGER) AS soc_pct
