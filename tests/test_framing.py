@@ -72,6 +72,18 @@ def test_walk_equals_plain_walk_whole_and_cut(spark):
                     assert r.ts == START + timedelta(milliseconds=r.off // 16)
 
 
+def test_frame_times_do_not_depend_on_the_session_zone(spark):
+    """Naive log times survive zones with summer time, repeated hour included."""
+    rows = [("a", i, datetime(2026, m, d, 1, 30), bytearray(raw(GOLDEN[0]))) for i, (m, d) in enumerate([(1, 5), (3, 29), (7, 1), (10, 25)])]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/London")
+    try:
+        got = frames_only(walk_frames(chunks(spark, rows), order=["line"])).orderBy("off").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [r.ts for r in got] == [r[2] for r in rows]
+
+
 def test_golden_decode(spark):
     rows = wire_table(golden_pairs(spark), fields=STANDARD + EXTENDED).orderBy("pair_off").collect()
     hr, ir1, ir2, ir3, write = rows

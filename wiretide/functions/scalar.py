@@ -42,6 +42,17 @@ def duration_ms(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1000.0)
 
 
+def ntz_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a TIMESTAMP_NTZ, whatever the session zone."""
+    since = ts - F.lit("1970-01-01").cast("timestamp_ntz")
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), since)
+
+    minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
+
+
 def local_to_utc(ts: Column, zone: str | Column) -> Column:
     """Naive wall-clock TIMESTAMP_NTZ of a zone to an instant."""
     zone_col = F.lit(zone) if isinstance(zone, str) else zone

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretide.functions.binary import crc16_bytes, u16
+from wiretide.functions.scalar import ntz_micros
 from wiretide.operators.folds import Step, fold
 
 REQUEST, RESPONSE = "request", "response"
@@ -152,10 +153,8 @@ def walk_frames(
 ) -> DataFrame:
     """Frames of every capture plus one closing row (no role) with the trailing drops.
     ``chunks`` has ``ts TIMESTAMP_NTZ`` and ``bytes BINARY`` per log line."""
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    slim = chunks.select(
-        *keys, *order, F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz")).alias("us"), "bytes"
-    )
+    micros = ntz_micros(F.col("ts").cast("timestamp_ntz"))
+    slim = chunks.select(*keys, *order, micros.alias("us"), "bytes")
     walked = fold(slim, keys, order, FrameWalk(fc4_layout), rows_per_cut)
     return walked.withColumn("ts", micros_to_ntz(F.col("us"))).drop("us")
 

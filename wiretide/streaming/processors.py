@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from wiretide.functions.scalar import ntz_micros
 from wiretide.operators.folds import Step
 from wiretide.operators.framing import FrameWalk, micros_to_ntz
 from wiretide.operators.pairing import PendingQueue, _queue_rows
@@ -79,10 +80,8 @@ def stream_frames(
     fc4_layout: str = "echo", ttl_ms: int | None = None,
 ) -> DataFrame:
     """Frames as bytes arrive; an incomplete tail waits for its next chunk."""
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    slim = chunks.select(
-        *keys, *order, F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz")).alias("us"), "bytes"
-    )
+    micros = ntz_micros(F.col("ts").cast("timestamp_ntz"))
+    slim = chunks.select(*keys, *order, micros.alias("us"), "bytes")
     walked = stream_step(slim, keys, order, FrameWalk(fc4_layout), ttl_ms)
     return walked.withColumn("ts", micros_to_ntz(F.col("us"))).drop("us")
 
