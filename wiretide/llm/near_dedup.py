@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from wiretide.llm.graph import components
 from wiretide.llm.shared import shuffle_parts, stored
@@ -276,15 +277,8 @@ def _verify(groups: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     return components(edges)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
-
-    Documents are linked when 100 * intersection >= percent * union of their sets of ``shingle``
-    words (ASCII letters lower-cased, split at white space). ``component_id`` is the smallest id
-    that links lead to. A document of fewer words has one shingle, its whole text; NULL texts and
-    texts without words have none and stay alone. Rows that share an id share a fate only if their
-    texts do; rows whose id is NULL are linked only by equal sets. An empty table gives no rows; further columns are not read.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """``(doc_id, n_shingles, node, component_id)`` of every row; ``node`` names its class."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>, sketch binary"
     rows = stored(base.mapInArrow(_sketched(shingle), schema), "sketches")
@@ -316,6 +310,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return (
         rows.select("doc_id", "n_shingles", "node")
         .join(alone, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "n_shingles", "node", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
+
+    Documents are linked when 100 * intersection >= percent * union of their sets of ``shingle``
+    words (ASCII letters lower-cased, split at white space). ``component_id`` is the smallest id
+    that links lead to. A document of fewer words has one shingle, its whole text; NULL texts and
+    texts without words have none and stay alone. Rows that share an id share a fate only if their
+    texts do; rows whose id is NULL are linked only by equal sets. An empty table gives no rows;
+    further columns are not read.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return _grouped(docs, id_col, text_col, shingle, percent).select("doc_id", "n_shingles", "component_id", kept)
+
+
+def _named(size: int, text_at: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(text_at))
+            for low, high in slices(offsets):
+                values, at = shingles(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], size)
+                nodes = [class_of(np.unique(values[x:y])) if y > x else None for x, y in zip(at[:-1], at[1:], strict=True)]
+                own = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(nodes, pa.int64())], [*own.schema.names, "__node"])
+
+    return work
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one of the smallest id, and all
+    rows that are alone. Of rows with the same id and set of shingles one stays."""
+    stays = _grouped(docs, id_col, text_col, shingle, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = stays.select(F.col("doc_id").alias("__id"), F.col("node").alias("__class")).distinct()
+    schema = StructType([*docs.schema.fields, StructField("__node", LongType())])
+    named = docs.mapInArrow(_named(shingle, docs.columns.index(text_col)), schema)
+    here = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col("__node").eqNullSafe(F.col("__class"))
+    found = named.join(stays, here).withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__class").orderBy("__id")))
+    return found.where("__nth = 1").select(*docs.columns)

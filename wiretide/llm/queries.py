@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wiretide.llm.decontamination import contamination_report
 from wiretide.llm.exact_dedup import exact_duplicates
+from wiretide.llm.language import language_report
 from wiretide.llm.mixing import mix_plan
 from wiretide.llm.near_dedup import near_duplicates
 from wiretide.llm.sharding import shard_plan
@@ -21,6 +22,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
+    "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
