@@ -12,12 +12,17 @@ from wiretide.llm.language import language_report
 from wiretide.llm.mixing import mix_plan
 from wiretide.llm.near_dedup import near_duplicates
 from wiretide.llm.sharding import shard_plan
+from wiretide.llm.toxicity import toxicity_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -43,6 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_sharding": op4_sharding,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
