@@ -30,7 +30,7 @@ from wiretide.llm.text import mixed, utf8
 SAMPLE_DOCS = 12_000
 #: Toxic documents that a lexicon entry needs, its least toxic share, and its least evidence: the log
 #: likelihood (nats) by which its own toxic share explains its documents better than the overall one.
-LEAST_DOCS, LEAST_SHARE, LEAST_EVIDENCE = 5, 0.95, 18.0
+LEAST_DOCS, LEAST_SHARE, LEAST_EVIDENCE = 4, 0.7, 9.0
 SHORTEST, LONGEST = 4, 8
 THRESHOLD = 0.7
 #: MinHash samples by which copies among the labelled documents are told.
