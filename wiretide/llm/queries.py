@@ -11,6 +11,7 @@ from wiretide.llm.exact_dedup import exact_duplicates
 from wiretide.llm.language import language_report
 from wiretide.llm.mixing import mix_plan
 from wiretide.llm.near_dedup import near_duplicates
+from wiretide.llm.repeats import cut_repeats
 from wiretide.llm.sharding import shard_plan
 from wiretide.llm.toxicity import toxicity_report
 
@@ -23,6 +24,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -49,6 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_sharding": op4_sharding,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
