@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wiretide.llm.decontamination import contamination_report
 from wiretide.llm.exact_dedup import exact_duplicates
 from wiretide.llm.language import language_report
+from wiretide.llm.lm_score import score_texts
 from wiretide.llm.mixing import mix_plan
 from wiretide.llm.near_dedup import near_duplicates
 from wiretide.llm.repeats import cut_repeats
@@ -32,6 +33,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_sharding": op4_sharding,
+    "op5_lm_score": op5_lm_score,
     "op6_language_id": op6_language_id,
     "op7_mixing": op7_mixing,
     "op8_near_dedup": op8_near_dedup,
