@@ -12,6 +12,7 @@ from wiretide.llm.language import language_report
 from wiretide.llm.lm_score import score_texts
 from wiretide.llm.mixing import mix_plan
 from wiretide.llm.near_dedup import near_duplicates
+from wiretide.llm.quality import score_quality
 from wiretide.llm.repeats import cut_repeats
 from wiretide.llm.sharding import shard_plan
 from wiretide.llm.toxicity import toxicity_report
@@ -29,6 +30,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -60,6 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op5_lm_score": op5_lm_score,
     "op6_language_id": op6_language_id,
