@@ -38,8 +38,9 @@ for _bit, _bytes in enumerate((range(65, 91), range(97, 123), range(128, 256), r
 MEASURES = ("words", "capitals", "signs", "digits", "word_length", "distinct", "runs", "lines")
 
 
-def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """One row of ``MEASURES`` per text, and its feature buckets.
+def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """One row of ``MEASURES`` per text, and its features: buckets and values. Words share a length
+    of one; shapes and steps of the measures count besides.
 
     words: their number; capitals: share of letters; signs, digits: share of bytes; word_length:
     mean; distinct: share of different words; runs: share of words equal to the one before; lines:
@@ -70,39 +71,30 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np
         shapes, seen = np.unique(shape[first[i] : first[i + 1]], return_counts=True)
         levels = np.floor(np.log2(1 + 64 * seen / max(1, n))).astype(np.uint64)
         steps = np.floor(np.r_[np.log2(1 + n), 10 * out[i, 1:4], out[i, 4], 10 * out[i, 5:]]).astype(np.uint64)
-        marks = np.r_[distinct, mixed(shapes.astype(np.uint64) * np.uint64(64) + levels + np.uint64(1 << 40)), mixed(steps * np.uint64(16) + np.arange(len(steps), dtype=np.uint64) + np.uint64(1 << 50))]
-        buckets.append((marks % np.uint64(BUCKETS)).astype(np.int64))
+        marks = np.r_[mixed(shapes.astype(np.uint64) * np.uint64(64) + levels + np.uint64(1 << 40)), mixed(steps * np.uint64(16) + np.arange(len(steps), dtype=np.uint64) + np.uint64(1 << 50))]
+        at = (np.r_[distinct, marks] % np.uint64(BUCKETS)).astype(np.int32)
+        buckets.append((at, np.r_[np.full(len(distinct), max(1, len(distinct)) ** -0.5), np.full(len(marks), 0.3)].astype(np.float32)))
     return out, buckets
 
 
 def votes(m: np.ndarray) -> np.ndarray:
-    """Votes of the heuristic labellers on rows of measures."""
+    """Votes of the heuristic labellers on rows of measures. Each of the first ones knows one fault
+    and else abstains; the last two know what prose looks like, by bytes and by words."""
     n, capitals, signs, digits, length, distinct, runs, lines = m.T
-    vote = lambda bad, good: np.where(bad, BAD, np.where(good, GOOD, NONE))
-    some = n >= 5
-    return np.stack(
-        [
-            vote(some & (capitals > 0.3), some & (capitals < 0.12)),
-            vote(signs > 0.05, some & (signs < 0.01)),
-            vote(some & (runs > 0.1), (n >= 20) & (runs < 0.03)),
-            vote((n >= 20) & (distinct < 0.25), (n >= 20) & (n < 400) & (distinct > 0.5)),
-            vote((lines > 0.3), (n >= 20) & (lines < 0.05)),
-            vote(some & ((length < 2.5) | (length > 14)), some & (length > 3) & (length < 9)),
-            vote((digits > 0.2) | (n < 2), some & (digits < 0.05)),
-        ],
-        axis=1,
-    ).astype(np.int8)
+    some, many = n >= 5, n >= 20
+    faults = [some & (capitals > 0.3), signs > 0.04, some & (runs > 0.1), many & (distinct < 0.25), lines > 0.3, some & ((length < 2.5) | (length > 14)), (digits > 0.2) | (n < 1)]
+    prose = [(capitals < 0.15) & (signs < 0.015) & (digits < 0.15) & (n > 0), (runs < 0.04) & (lines < 0.1) & (length < 12) & (n > 0)]
+    return np.stack([np.where(x, BAD, NONE) for x in faults] + [np.where(x, GOOD, NONE) for x in prose], axis=1).astype(np.int8)
 
 
-LABELLERS = 7
+LABELLERS = 9
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns: the posterior of good for each pattern, and each
     labeller's accuracy where it votes. Labellers are independent given the class; each has its own
     chance of every vote under either class."""
-    start = np.clip(0.5 + 0.5 * (np.where(patterns == BAD, -2, patterns)).sum(1) / LABELLERS, 0.05, 0.95)
-    good = start
+    good = np.where((patterns == BAD).any(axis=1), 0.1, 0.95)  # a start: heuristics rarely object without cause
     for _ in range(rounds):
         prior = np.clip((counts * good).sum() / counts.sum(), 1e-3, 1 - 1e-3)
         logs = np.log(prior / (1 - prior)) * np.ones(len(patterns))
@@ -127,21 +119,22 @@ def pattern_code(v: np.ndarray) -> np.ndarray:
     return (v.astype(np.int64) + 1) @ 3 ** np.arange(v.shape[1])
 
 
-def train_scorer(features: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: int = 64, seed: int = 3) -> np.ndarray:
-    """Logistic regression on soft labels by AdaGrad; a feature weighs 1 over the root of their number.
-    The last weight is the bias."""
+def train_scorer(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 8, batch: int = 64, seed: int = 3) -> np.ndarray:
+    """Logistic regression on soft labels by AdaGrad; good and bad weigh the same in total. The last
+    weight is the bias."""
     rng, w = np.random.default_rng(seed), np.zeros(BUCKETS + 1)
     square = np.full(BUCKETS + 1, 1e-2)
+    good, bad = max(1e-3, labels.sum()), max(1e-3, (1 - labels).sum())
+    worth = 0.5 * len(labels) * (labels / good + (1 - labels) / bad)
     for _ in range(epochs):
         order = rng.permutation(len(features))
         for a in range(0, len(order), batch):
             pick = order[a : a + batch]
-            row = np.repeat(np.arange(len(pick)), [len(features[i]) for i in pick])
-            flat = np.concatenate([features[i] for i in pick])
-            scale = np.array([len(features[i]) ** -0.5 if len(features[i]) else 0.0 for i in pick])
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[flat] * scale[row], minlength=len(pick)) + w[-1], -30, 30)))
-            error = (p - labels[pick]) / len(pick)
-            grad = np.bincount(np.r_[flat, np.full(len(pick), BUCKETS)], np.r_[(error * scale)[row], error], minlength=BUCKETS + 1)
+            row = np.repeat(np.arange(len(pick)), [len(features[i][0]) for i in pick])
+            flat, value = np.concatenate([features[i][0] for i in pick]), np.concatenate([features[i][1] for i in pick])
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[flat] * value, minlength=len(pick)) + w[-1], -30, 30)))
+            error = worth[pick] * (p - labels[pick]) / len(pick)
+            grad = np.bincount(np.r_[flat, BUCKETS], np.r_[error[row] * value, error.sum()], minlength=BUCKETS + 1)
             at = np.flatnonzero(grad)
             square[at] += grad[at] ** 2
             w[at] -= 0.1 * (grad[at] / np.sqrt(square[at]) + 1e-4 * w[at])
@@ -162,7 +155,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(batch.column(0))
         for low, high in slices(offsets):
             m, found = measures(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-            yield pa.RecordBatch.from_arrays([pa.array(pattern_code(votes(m))), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())], ["pattern", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array(pattern_code(votes(m))), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in range(2))], ["pattern", "buckets", "parts"])
 
 
 def _scored(model):
@@ -173,7 +166,7 @@ def _scored(model):
             for low, high in slices(offsets):
                 m, found = measures(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 v = votes(m)
-                raw = np.array([w[f].sum() * len(f) ** -0.5 + w[-1] for f in found])
+                raw = np.array([w[at] @ value + w[-1] for at, value in found])
                 score = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
                 weak = np.array([posterior.get(int(c), 0.5) for c in pattern_code(v)])
                 yield pa.RecordBatch.from_arrays(
@@ -206,8 +199,8 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         slot = F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(SAMPLE_DOCS))
         picked = known.groupBy(slot).agg(F.min(hashed).alias("__pick")).select("__pick")
         sample = known.join(F.broadcast(picked), hashed == F.col("__pick"), "left_semi").dropDuplicates(["doc_id", "text"]).select("text")
-        found = sample.mapInArrow(_features, "pattern bigint, features binary").toArrow().sort_by([("pattern", "ascending"), ("features", "ascending")])
-        features = [np.frombuffer(f, np.int32).astype(np.int64) for f in found["features"].to_pylist()]
+        found = sample.mapInArrow(_features, "pattern bigint, buckets binary, parts binary").toArrow().sort_by([("pattern", "ascending"), ("buckets", "ascending"), ("parts", "ascending")])
+        features = [(np.frombuffer(f, np.int32), np.frombuffer(v, np.float32)) for f, v in zip(found["buckets"].to_pylist(), found["parts"].to_pylist(), strict=True)]
         w = train_scorer(features, np.array([posterior[c] for c in found["pattern"].to_pylist()]))
     model = docs.sparkSession.sparkContext.broadcast((w, posterior))
     return rows.select("doc_id", "text", "held_out").mapInArrow(_scored(model), "doc_id bigint, held_out boolean, n_votes int, weak_label double, score double, kept boolean")
