@@ -23,7 +23,7 @@ BAD, NONE, GOOD = -1, 0, 1
 #: Texts the scorer is trained on at most, one in each of so many hash slots.
 SAMPLE_DOCS = 6000
 BUCKETS = 1 << 18
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 _KINDS = np.zeros((256, 4), np.int64)
 _KINDS[65:91, 0] = 1  # capital
