@@ -172,16 +172,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove != "spans":
         raise ValueError("remove is documents or spans")
 
+    names = docs.columns
+    text_at = names.index(text_col)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(docs.columns.index(text_col)).to_pylist()
-            for i, row in enumerate(batch.column(len(docs.columns)).to_pylist()):
+            texts = batch.column(text_at).to_pylist()
+            for i, row in enumerate(batch.column(len(names)).to_pylist()):
                 if row:
                     raw = texts[i].encode()
                     edges = [0, *(x for span in row for x in (span["begin"], span["end"])), len(raw)]
                     texts[i] = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
-            own = batch.select(docs.columns)
-            yield own.set_column(docs.columns.index(text_col), text_col, pa.array(texts, own.schema.field(text_col).type))
+            own = batch.select(names)
+            yield own.set_column(text_at, text_col, pa.array(texts, own.schema.field(text_col).type))
 
     cut = F.when(contaminated(), F.col("__spans")).otherwise(F.array().cast(HIT_SQL)).alias("__cut")
     return found.select(*docs.columns, cut).mapInArrow(work, docs.schema)
