@@ -107,7 +107,7 @@ def test_asof_hot_key_equals_brute_force(skewed):
     got = asof_join(left, right, by=["key"], right_columns=["rv", "rseq"], left_seq="seq", right_seq="rseq", rows_per_cut=50)
     rights = right.collect()
     for r in got.collect():
-        best = max((q for q in rights if q.key == r.key and q.ts <= r.ts), key=lambda q: (q.ts, q.rseq), default=None)
+        best = max((q for q in rights if r.key is not None and q.key == r.key and q.ts <= r.ts), key=lambda q: (q.ts, q.rseq), default=None)
         assert (r.rv, r.rseq) == ((best.rv, best.rseq) if best else (None, None))
 
 
@@ -219,8 +219,8 @@ def test_sinks(spark, tmp_path):
 
 
 def test_telemetry(spark):
-    row = spark.createDataFrame([(53125, -140, 18600, 93, [3316, 3324, 3310, 3324])],
-                                "pack_voltage_mV int, pack_current_cA int, total_cap_cAh int, soc_pct int, cells array<int>")
+    row = spark.createDataFrame([(53125, -1400, 18600, 93, [3316, 3324, 3310, 3324])],
+                                "pack_voltage_mV int, pack_current_mA int, total_cap_cAh int, soc_pct int, cells array<int>")
     out = telemetry.other_protocol_units(row, F.col("cells")).collect()[0]
     assert (out.BatteryVoltage, out.BatteryCurrent, out.RatedCapacity, out.SoC) == (5312.5, -14.0, 1860.0, 93)
     assert (out.MinCellVoltage, out.MinCellId, out.MaxCellVoltage, out.MaxCellId) == (3310, 3, 3324, 2)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
 
 
 def bit(value: Column, index: Column | int) -> Column:
@@ -38,8 +39,13 @@ def register_label(device: Column, fc: Column, reg: Column) -> Column:
 
 
 def duration_ms(start: Column, end: Column) -> Column:
-    """Elapsed milliseconds between two timestamps, as DOUBLE."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1000.0)
+    """Elapsed milliseconds between two naive timestamps, as DOUBLE, whatever the session zone."""
+    return (ntz_micros(end) - ntz_micros(start)) / F.lit(1000.0)
+
+
+def micros(ts: Column, kind: DataType) -> Column:
+    """Microseconds since 1970 of a column of type ``kind``; naive times don't depend on the zone."""
+    return ntz_micros(ts) if isinstance(kind, TimestampNTZType) else F.unix_micros(ts.cast("timestamp"))
 
 
 def ntz_micros(ts: Column) -> Column:

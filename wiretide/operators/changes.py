@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wiretide.functions.scalar import bit
+from wiretide.functions.scalar import bit, micros
 from wiretide.operators.runs import run
 
 
@@ -47,7 +47,8 @@ def gap_us(
 ) -> DataFrame:
     """Microseconds since the row before, as BIGINT so that sums are exact."""
     seen = run(df, keys, order, rows_per_cut).lag({"__before": F.col(ts)}).done()
-    return seen.withColumn(out, F.timestamp_diff("MICROSECOND", F.col("__before"), F.col(ts))).drop("__before")
+    kind = df.schema[ts].dataType
+    return seen.withColumn(out, micros(F.col(ts), kind) - micros(F.col("__before"), kind)).drop("__before")
 
 
 def gap_summary(gaps: DataFrame, keys: Sequence[str], gap: str = "gap_us") -> DataFrame:
@@ -100,15 +101,14 @@ def coincidences(
     Nothing is paired up: flips are counted cumulatively along time, and every change
     reads those counters at both ends of its window.
     """
-    micros = round(tolerance_seconds * 1_000_000)
-    epoch = F.lit("1970-01-01").cast(flips.schema[ts].dataType)
-    us = F.timestamp_diff("MICROSECOND", epoch, F.col(ts))
+    reach = round(tolerance_seconds * 1_000_000)
+    us = micros(F.col(ts), flips.schema[ts].dataType)
     none = F.lit(None).cast(reported.schema["prev_value"].dataType)
     events = flips.select(
         *keys, us.alias("__us"), F.lit(1).alias("__kind"), "bit",
         none.alias("prev_value"), none.alias("new_value"),
     )
-    ends = [(us - micros, 0), (us + micros, 2)]  # before, and after, flips of equal time
+    ends = [(us - reach, 0), (us + reach, 2)]  # before, and after, flips of equal time
     for at, kind in ends:
         events = events.unionByName(
             reported.select(

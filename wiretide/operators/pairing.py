@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wiretide.functions.scalar import micros
 from wiretide.functions.binary import u16
 from wiretide.operators.folds import Step, fold
 from wiretide.operators.framing import (
@@ -114,12 +115,11 @@ class PendingQueue(Step):
 
 
 def _queue_rows(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
-    epoch = F.lit("1970-01-01").cast(frames.schema["ts"].dataType)
     request = F.col("role") == REQUEST
     return frames.select(
         *keys,
         "off",
-        F.timestamp_diff("MICROSECOND", epoch, F.col("ts")).alias("us"),
+        micros(F.col("ts"), frames.schema["ts"].dataType).alias("us"),
         "role",
         "device",
         "fc",

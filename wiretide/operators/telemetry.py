@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wiretide.functions.scalar import bit
+from wiretide.functions.scalar import bit, micros
 from wiretide.operators.layouts import HR, IR1, IR2, IR3
 from wiretide.operators.runs import run
 
@@ -52,7 +52,8 @@ def hold_with_age(
     """Last known reading with its age and a stale flag: ``held``, ``age_seconds``, ``stale``."""
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(ts).alias("t")))
     held = run(df, keys, order, rows_per_cut).last_known({"__held": seen}).done()
-    age = F.timestamp_diff("MICROSECOND", F.col("__held.t"), F.col(ts)) / F.lit(1_000_000.0)
+    kind = df.schema[ts].dataType
+    age = (micros(F.col(ts), kind) - micros(F.col("__held.t"), kind)) / F.lit(1_000_000.0)
     out = {"held": F.col("__held.v"), "age_seconds": age}
     return held.withColumns(out).withColumn("stale", F.col("age_seconds") > stale_seconds).drop("__held")
 
@@ -102,13 +103,15 @@ def state_of_charge(remaining: Column, calibrated: Column) -> Column:
 
 def other_protocol_units(df: DataFrame, cells: Column, temps: Column | None = None) -> DataFrame:
     """Fields in the units of a common pack-broadcast protocol. ``cells`` is an array of
-    mV per cell; ids of the extreme cells are 1-based, lowest cell first on ties."""
+    mV per cell; ids of the extreme cells are 1-based, lowest cell first on ties. The current is
+    that of the wide pack block, else of the holding registers, in tenths of an ampere; fields
+    whose source column is not decoded are NULL."""
     def scaled(name: str, by: int) -> Column:
         return F.col(name) / by if name in df.columns else F.lit(None).cast("double")
 
     out = {
         "BatteryVoltage": scaled("pack_voltage_mV", 10),
-        "BatteryCurrent": scaled("pack_current_cA", 10),
+        "BatteryCurrent": scaled("pack_current_mA", 100) if "pack_current_mA" in df.columns else scaled("hr23_pack_current_cA", 10),
         "RatedCapacity": scaled("total_cap_cAh", 10),
         "MinCellVoltage": F.array_min(cells),
         "MaxCellVoltage": F.array_max(cells),

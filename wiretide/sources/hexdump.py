@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from wiretide.operators.runs import run
 
-# Fixed by the log format: timestamp, offset, up to 16 hex bytes, text column.
-LINE_PATTERN = r"^(\S+ \S+)\s+([0-9A-Fa-f]+)\s+((?:[0-9A-Fa-f]{2} ?)+)\s*\|.*\|\s*$"
 BYTES_PER_LINE = 16
+#: What stands between the parts of a line, and what opens and closes the text column.
+BLANKS, BAR = r"[ \t]+", "|"
 
 LINE_ORDER = ["path", "block", "line"]
 
 
 def scan_lines(spark: SparkSession, paths: str | Sequence[str], capture_id: Column | None = None) -> DataFrame:
     """Raw log lines with their file order. ``capture_id`` is an expression over ``path``;
-    by default each file is one capture. Line numbers grow within a file block, which is
+    by default each file, by its full path, is one capture. Line numbers grow within a file block, which is
     all that ordering needs, so large files are read in parallel."""
     read = spark.read.text(list(paths) if not isinstance(paths, str) else paths)
     lines = read.select(
@@ -27,38 +27,48 @@ def scan_lines(spark: SparkSession, paths: str | Sequence[str], capture_id: Colu
         F.monotonically_increasing_id().alias("line"),
         "value",
     )
-    name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1) if capture_id is None else capture_id
+    name = F.col("path") if capture_id is None else capture_id
     return lines.select(name.alias("capture_id"), *LINE_ORDER, "value")
 
 
-_MARK = "\x01"
+def _parts(value: str) -> Column:
+    """The blank-separated parts before the text column: date, time, offset and hex bytes. Without
+    a text column, which is enclosed in bars, there are none."""
+    line = F.rtrim(F.col(value))
+    enclosed = line.endswith(BAR) & (F.length(line) - F.length(F.translate(line, BAR, "")) >= 2)
+    return F.when(enclosed, F.split(F.rtrim(F.substring_index(line, BAR, 1)), BLANKS)).otherwise(F.array().cast("array<string>"))
 
 
-def _parts(value: str) -> Column:
-    """A good line's timestamp, offset and hex text after an empty first element; one
-    element for other lines. The pattern runs once: it rewrites a good line."""
-    rewritten = F.regexp_replace(value, LINE_PATTERN, f"{_MARK}$1{_MARK}$2{_MARK}$3")
-    return F.split(rewritten, _MARK)
+def _is_hex(part: Column) -> Column:
+    return (F.length(part) > 0) & (F.translate(F.lower(part), "0123456789abcdef", "") == "")
+
+
+def _whole_bytes(parts: Column) -> Column:
+    """Whether the parts from the fourth on are hex digits in pairs."""
+    digits = F.slice(parts, 4, F.greatest(F.size(parts) - 3, F.lit(0)))
+    return (F.size(digits) > 0) & F.forall(digits, lambda x: _is_hex(x) & (F.length(x) % 2 == 0))
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Byte chunks of well-formed lines; other lines are skipped. The offset column is
     informative only: chunks follow each other in file order."""
     kept = [c for c in lines.columns if c != value]
-    # explode keeps the filters below from evaluating the pattern again
-    parts = lines.select(*kept, F.explode(F.array(_parts(value))).alias("p")).where(F.size("p") == 4)
-    fields = parts.select(
+    # explode keeps the filters below from splitting the line again
+    parts = lines.select(*kept, F.explode(F.array(_parts(value))).alias("p")).where(F.size("p") > 3)
+    fields = parts.where(_is_hex(F.get("p", F.lit(2))) & _whole_bytes(F.col("p"))).select(
         *kept,
-        F.col("p")[1].try_cast("timestamp_ntz").alias("ts"),
-        F.conv(F.col("p")[2], 16, 10).cast("bigint").alias("offset"),
-        F.unhex(F.translate(F.col("p")[3], " ", "")).alias("bytes"),
+        F.concat_ws(" ", F.get("p", F.lit(0)), F.get("p", F.lit(1))).try_cast("timestamp_ntz").alias("ts"),
+        F.conv(F.get("p", F.lit(2)), 16, 10).cast("bigint").alias("offset"),
+        F.unhex(F.array_join(F.slice("p", 4, F.greatest(F.size("p") - 3, F.lit(0))), "")).alias("bytes"),
     )
     return fields.where(F.col("ts").isNotNull())
 
 
 def rejected_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """How many lines per capture :func:`parse_lines` skips."""
-    bad = F.get(_parts(value), F.lit(1)).try_cast("timestamp_ntz").isNull()
+    parts = _parts(value)
+    stamp = F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).try_cast("timestamp_ntz")
+    bad = ~F.coalesce(_is_hex(F.get(parts, F.lit(2))) & _whole_bytes(parts) & stamp.isNotNull(), F.lit(False))
     return lines.groupBy("capture_id").agg(F.count("*").alias("lines"), F.count_if(bad).alias("rejected"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from wiretide.functions.scalar import ntz_micros
+from wiretide.functions.scalar import micros, ntz_micros
 from wiretide.operators.folds import Step
 from wiretide.operators.framing import FrameWalk, micros_to_ntz
 from wiretide.operators.pairing import PendingQueue, _queue_rows
@@ -100,11 +100,10 @@ def stream_min_gap(
 ) -> DataFrame:
     """Rate limit (no ``data``) or de-duplication with a minimum gap. Returns the keys,
     order and ``data`` columns of kept rows."""
-    epoch = F.lit("1970-01-01").cast(df.schema[ts].dataType)
     packed = F.to_json(F.struct(*data), {"ignoreNullFields": "false"}) if data else F.lit(None).cast("string")
     carried = [*order, *[d for d in data if d not in order]]
     slim = df.select(
-        *keys, *carried, F.timestamp_diff("MICROSECOND", epoch, F.col(ts)).alias("at_us"), packed.alias("packed_data")
+        *keys, *carried, micros(F.col(ts), df.schema[ts].dataType).alias("at_us"), packed.alias("packed_data")
     )
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried)
     step = MinGap(round(gap_seconds * 1_000_000), bool(data), ddl)
