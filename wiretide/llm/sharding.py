@@ -60,7 +60,7 @@ def numbered(rows: DataFrame, order: Sequence[str], bucket_rows: int = BUCKET_RO
         cut.withColumn("__nth", F.row_number().over(within))
         .join(offsets, ["shard", "__bucket"])
         .withColumn("slot", (F.col("__before") + F.col("__nth") - 1).cast("long"))
-        .drop("__bucket", "__nth", "__before")
+        .select(*[c for c in rows.columns if c != "slot"], "slot")
     )
 
 
