@@ -8,9 +8,9 @@ such a rule once; batch jobs run it here and streams run it from a state store
 Rows are shuffled by key and cut, sorted inside the partition and streamed through
 ``mapInArrow``, so memory is one Arrow batch plus the state. A key too large for one task is
 cut as in ``runs``. Cuts start from the state their left neighbour ends with; these
-end states are found by repeating the walk over hot keys until none changes. Machines
-that forget their past (all the ones here) settle after two walks, and any machine
-ends with exactly the one-task result.
+end states are found by repeating the walk over cuts whose entry state changed, until none
+does. Framing forgets its past and settles after two walks. A throttle on regular ticks may
+need a walk per cut, each over the changed cuts only. The result is always that of one task.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wiretide.operators.runs import CUT, LAST_CUT, mark_cuts, split_points
+from wiretide.operators.runs import CUT, LAST_CUT, mark_cuts, materialise, split_points
 
 
 class Step:
@@ -156,8 +156,9 @@ def fold(
     key_fields = [df.schema[k] for k in keys]
 
     def sorted_parts(rows: DataFrame) -> DataFrame:
-        # A fixed count, since merging small partitions would serialise the Python work.
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # A fixed count, since merging small partitions would serialise the Python work; with
+        # the number of cuts it grows with the data.
+        tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(len(p) + 1 for p in cuts.values()))
         ordered = rows.repartition(tasks, *keys, CUT).sortWithinPartitions(*keys, CUT, *order)
         return ordered.select(*keys, CUT, LAST_CUT, *step.needs)
 
@@ -165,11 +166,12 @@ def fold(
     if cuts:
         exit_schema = StructType([*key_fields, marked.schema[CUT]])
         exit_schema = exit_schema.add("__state", "string").add("__weight", "long")
-        todo = marked.where(F.col(CUT).isNotNull())
+        ordered = materialise(sorted_parts(marked))
+        todo = ordered.where(F.col(CUT).isNotNull())
         exits: dict[tuple, tuple[str, int]] = {}
         while True:
             walk = _walker(step, keys, exit_schema, entries, True)
-            for row in sorted_parts(todo).mapInArrow(walk, exit_schema).collect():
+            for row in todo.mapInArrow(walk, exit_schema).collect():
                 exits[tuple(row[: len(keys) + 1])] = (row["__state"], row["__weight"])
             settled = _enter(exits, cuts)
             moved = [g for g, (state, _) in settled.items() if _state_of(entries, g, step) != state]
@@ -177,10 +179,11 @@ def fold(
             if not moved:
                 break
             groups = df.sparkSession.createDataFrame(moved, StructType([*key_fields, marked.schema[CUT]]))
-            todo = _only(marked, groups, [*keys, CUT])
+            todo = _only(ordered, groups, [*keys, CUT])
 
     schema = StructType([*key_fields, *StructType.fromDDL(step.output).fields])
-    return sorted_parts(marked).mapInArrow(_walker(step, keys, schema, entries, False), schema)
+    rows = ordered if cuts else sorted_parts(marked)
+    return rows.mapInArrow(_walker(step, keys, schema, entries, False), schema)
 
 
 def _state_of(entries: dict, group: tuple, step: Step) -> str:

@@ -1,7 +1,7 @@
 """Ordered operators over keyed rows that stay balanced when one key is huge.
 
-``Window.partitionBy(key)`` sends a whole key to one task. A ``Run`` looks for keys
-that hold more rows than one task should, cuts those at split points of their own
+``Window.partitionBy(key)`` sends a whole key to one task. A ``Run`` counts the rows of every
+key, cuts the keys that hold more than one task should at split points of their own
 order, and lets windows run on ``(key, cut)``. What a cut needs from its neighbours is
 one small carry row, joined back by broadcast: there are at most ``MAX_CUTS`` cuts plus
 as many hot keys, whatever the data size. Results never depend on where the cuts fall.
@@ -13,24 +13,26 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DateType, FractionalType, IntegralType, TimestampNTZType, TimestampType
 
-MAX_CUTS = 4096
-ROWS_PER_CUT = 4_000_000
-WHOLE_KEY_BYTES = 64 << 20  # below this estimate every key fits one task
+from wiretide.functions.scalar import micros
+
+#: A key with more rows is cut into pieces of about this many. Only beyond ``MAX_CUTS`` pieces
+#: over all keys (6.5 billion rows in hot keys) do the pieces themselves grow.
+ROWS_PER_CUT = 100_000
+MAX_CUTS = 65_536
 SAMPLES_PER_CUT = 40
 
 CUT = "__cut"
 LAST_CUT = "__last_cut"
+HOT, N_SPLITS = "__hot", "__n_splits"
 _ALL = "__all"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size estimate of Spark's own optimizer; starts no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _same(left: str, right: str, names: Sequence[str]) -> Column:
     tests = [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names]
     return reduce(lambda a, b: a & b, tests)
@@ -43,71 +45,104 @@ def attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
     return joined.select("l.*", *[F.col(f"r.{c}").alias(c) for c in extra])
 
 
+def _comparable(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """The order columns as numbers or text that Python compares as Spark does. Times become
+    microseconds, which no session zone can change; a NULL comes first."""
+    out = []
+    for name in order:
+        col, kind = F.col(name), df.schema[name].dataType
+        if isinstance(kind, (TimestampType, TimestampNTZType)):
+            col = micros(col, kind)
+        elif isinstance(kind, DateType):
+            col = F.unix_date(col).cast("bigint")
+        elif isinstance(kind, (IntegralType, BooleanType)):
+            col = col.cast("bigint")
+        elif isinstance(kind, BinaryType):
+            col = F.coalesce(F.hex(col), F.lit(""))
+        elif not isinstance(kind, FractionalType):
+            col = F.coalesce(col.cast("string"), F.lit(""))
+        if isinstance(kind, (TimestampType, TimestampNTZType, DateType, IntegralType, BooleanType)):
+            col = F.coalesce(col, F.lit(-(2**63)).cast("bigint"))
+        out.append(col.alias(name))
+    return out
+
+
 def split_points(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_cut: int | None = None
 ) -> dict[tuple, list[tuple]]:
-    """Split points of every key too large for one task: key -> sorted order tuples.
+    """Split points of every key too large for one task: key -> sorted comparable order tuples.
 
-    Sizes come from a row count and a sample of at most about
-    ``MAX_CUTS * SAMPLES_PER_CUT`` rows. The sample only places cuts.
+    One pass counts the rows of each key (keys only, with map-side sums). If some key is too
+    large, a second one draws about ``SAMPLES_PER_CUT`` rows per cut from such keys, ranks them
+    in Spark and brings one point per cut to the driver. The sample only places cuts.
     """
-    if rows_per_cut is None and estimated_bytes(df) <= WHOLE_KEY_BYTES:
-        return {}
-    narrow = df.select(*keys, *order)
-    total = narrow.count()
-    per_cut = max(rows_per_cut or ROWS_PER_CUT, -(-total // MAX_CUTS))
-    if total <= per_cut:
+    least = rows_per_cut or ROWS_PER_CUT
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") > least)
+    hot = sizes.orderBy(F.desc("__rows")).limit(MAX_CUTS).collect()
+    per_cut = max(least, -(-sum(r["__rows"] for r in hot) // MAX_CUTS))
+    hot = [tuple(r[: len(keys)]) for r in hot if r["__rows"] > per_cut]
+    if not hot:
         return {}
+    numbered = df.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(hot)], df.select(*keys).schema.add(HOT, "integer"))
+    narrow = df.select(*keys, *_comparable(df, order)).alias("l")
+    rows = narrow.join(F.broadcast(numbered).alias("r"), _same("l", "r", keys)).select(HOT, *[F.col(f"l.{o}") for o in order])
     fraction = min(1.0, SAMPLES_PER_CUT / per_cut)
-    rows = (narrow.sample(fraction, seed=7) if fraction < 1 else narrow).collect()
-    per_key: dict[tuple, list[tuple]] = {}
-    width = len(keys)
-    for row in rows:
-        point = tuple(row[width:])
-        if None not in point:
-            per_key.setdefault(tuple(row[:width]), []).append(point)
-    stride = max(1, int(per_cut * fraction))
-    cuts = {}
-    for key, points in per_key.items():
-        if len(points) > stride:
-            chosen = sorted(set(sorted(points)[stride::stride]))
-            if chosen:
-                cuts[key] = chosen
-    return cuts
-
-
-def _cut_index(splits: Column, at: Column) -> Column:
-    """How many split points are <= ``at``, by binary search in a sorted array."""
-    steps = F.lit([1 << p for p in range(MAX_CUTS.bit_length(), -1, -1)])
-
-    def probe(found: Column, step: Column) -> Column:
-        nxt = found + step
-        return F.when((nxt <= F.size(splits)) & (F.get(splits, nxt - 1) <= at), nxt).otherwise(found)
-
-    return F.aggregate(steps, F.lit(0), probe)
+    drawn = rows.sample(fraction, seed=7) if fraction < 1 else rows
+    rank = F.row_number().over(Window.partitionBy(HOT).orderBy(*order))
+    stride = max(1, round(per_cut * fraction))
+    points = drawn.withColumn("__rank", rank).where((F.col("__rank") > 1) & (F.col("__rank") % stride == 1 % stride))
+    cuts: dict[tuple, set[tuple]] = {}
+    for row in points.select(HOT, *order).collect():
+        cuts.setdefault(hot[row[0]], set()).add(tuple(row[1:]))
+    return {key: sorted(points) for key, points in cuts.items()}
+
+
+def _array(values: pd.Series | list) -> np.ndarray:
+    found = values.to_numpy() if isinstance(values, pd.Series) else np.array(values)
+    return found if found.dtype.kind in "if" else np.array(list(values), dtype=object)
+
+
+def _place(points: list[tuple], columns: list[np.ndarray], depth: int = 0) -> np.ndarray:
+    """How many of the sorted points are at or before each row. One search per column; only rows
+    that tie with points look at the next one."""
+    mine = _array([p[depth] for p in points])
+    low, high = np.searchsorted(mine, columns[depth], "left"), np.searchsorted(mine, columns[depth], "right")
+    if depth + 1 == len(columns):
+        return high
+    out = low.copy()
+    for a in np.unique(low[low < high]):
+        at = np.flatnonzero((low == a) & (high > a))
+        out[at] += _place(points[a : high[at[0]]], [c[at] for c in columns], depth + 1)
+    return out
+
+
+def _cut_index(splits):
+    """Arrow function (hot key number, order struct) -> cut; split points come as a broadcast value."""
+
+    def cut(hot: pd.Series, at: pd.DataFrame) -> pd.Series:
+        out = np.zeros(len(hot), np.int32)
+        for key in hot.dropna().unique():
+            rows = np.flatnonzero((hot == key).to_numpy())
+            out[rows] = _place(splits.value[int(key)], [_array(at[c].iloc[rows]) for c in at.columns])
+        return pd.Series(out)
+
+    return F.pandas_udf(cut, "int")
 
 
 def mark_cuts(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Mapping[tuple, list[tuple]]
 ) -> DataFrame:
-    """Add ``__cut`` (NULL for keys that stay whole) and ``__last_cut``."""
+    """Add ``__cut`` (NULL for keys that stay whole) and ``__last_cut``. Rows are joined with the
+    number of their hot key only, never with its split points."""
     spark = df.sparkSession
-    fields = [df.schema[k] for k in keys]
-    points = df.select(F.struct(*order).alias("p")).schema["p"].dataType
-    schema = df.select(*keys).schema.add(
-        "__splits", df.select(F.array(F.struct(*order)).alias("s")).schema["s"].dataType
-    )
-    small = spark.createDataFrame(
-        [(*key, [points.fromInternal(points.toInternal(p)) for p in ps]) for key, ps in cuts.items()],
-        schema,
-    )
-    assert len(fields) == len(keys)
-    at = F.struct(*order)
+    schema = df.select(*keys).schema.add(HOT, "integer").add(N_SPLITS, "integer")
+    small = spark.createDataFrame([(*key, i, len(points)) for i, (key, points) in enumerate(cuts.items())], schema)
+    place = _cut_index(spark.sparkContext.broadcast(list(cuts.values())))
+    marked = attach(df, small, keys).withColumn(CUT, place(F.col(HOT), F.struct(*_comparable(df, order))))
     return (
-        attach(df, small, keys)
-        .withColumn(CUT, F.when(F.col("__splits").isNotNull(), _cut_index(F.col("__splits"), at)))
-        .withColumn(LAST_CUT, F.coalesce(F.col(CUT) == F.size("__splits"), F.lit(True)))
-        .drop("__splits")
+        marked.withColumn(CUT, F.when(F.col(HOT).isNotNull(), F.col(CUT)))
+        .withColumn(LAST_CUT, F.coalesce(F.col(CUT) == F.col(N_SPLITS), F.lit(True)))
+        .drop(HOT, N_SPLITS)
     )
 
 
@@ -253,14 +288,11 @@ def run(
     rows_per_cut: int | None = None,
 ) -> Run:
     """Start ordered work on ``df``. ``order`` must be total and non-null inside a key.
-    Without keys the rows are always cut, so no task gets them all."""
+    Without keys all rows count as one key."""
     keys, order = tuple(keys), tuple(order)
     if not keys:
         df = df.withColumn(_ALL, F.lit(0))
         keys = (_ALL,)
-        if rows_per_cut is None and estimated_bytes(df) <= WHOLE_KEY_BYTES:
-            tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            rows_per_cut = max(1, -(-df.count() // tasks))
     cuts = split_points(df, keys, order, rows_per_cut)
     if not cuts:
         return Run(df, keys, order, False)
@@ -275,12 +307,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint an expensive intermediate that later steps read more than once.
-    Uses ``spark.checkpoint.dir``; small results are simply recomputed."""
+    """Checkpoint an expensive intermediate that later steps read more than once, in the shared
+    folder of ``spark.checkpoint.dir``. Without that setting it is recomputed."""
     context = df.sparkSession.sparkContext
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if folder and not context.getCheckpointDir():
         context.setCheckpointDir(folder)
-    if estimated_bytes(df) <= WHOLE_KEY_BYTES or not context.getCheckpointDir():
-        return df
-    return df.checkpoint()
+    return df.checkpoint() if context.getCheckpointDir() else df
