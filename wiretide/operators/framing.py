@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wiretide.functions.binary import crc16_bytes, u16
 from wiretide.functions.scalar import ntz_micros
 from wiretide.operators.folds import Step, fold
+from wiretide.operators.runs import materialise
 
 REQUEST, RESPONSE = "request", "response"
 READ_HOLDING, READ_INPUT, WRITE_SINGLE, EXCEPTION = 3, 4, 6, 0x80
@@ -152,10 +153,11 @@ def walk_frames(
     rows_per_cut: int | None = None,
 ) -> DataFrame:
     """Frames of every capture plus one closing row (no role) with the trailing drops.
-    ``chunks`` has ``ts TIMESTAMP_NTZ`` and ``bytes BINARY`` per log line."""
+    ``chunks`` has ``ts TIMESTAMP_NTZ`` and ``bytes BINARY`` per log line. They are parsed once
+    and stored, if the session names a shared folder, since cutting and walking read them again."""
     micros = ntz_micros(F.col("ts").cast("timestamp_ntz"))
     slim = chunks.select(*keys, *order, micros.alias("us"), "bytes")
-    walked = fold(slim, keys, order, FrameWalk(fc4_layout), rows_per_cut)
+    walked = fold(materialise(slim), keys, order, FrameWalk(fc4_layout), rows_per_cut)
     return walked.withColumn("ts", micros_to_ntz(F.col("us"))).drop("us")
 
 

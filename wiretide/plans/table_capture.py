@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wiretide.functions.binary import byte_bytes, word_bytes
 from wiretide.operators.decode import request_body, sealed, words_binary
-from wiretide.operators.runs import run, spread
+from wiretide.operators.runs import materialise, run, spread
 from wiretide.sources.hexdump import format_hexdump
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
@@ -124,7 +124,7 @@ LINE_KEYS = [*ORDER, "flush", "piece"]
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The capture as hexdump text lines."""
-    return format_hexdump(flushes(spark, folder), [*ORDER, "flush"])
+    return format_hexdump(materialise(flushes(spark, folder)), [*ORDER, "flush"])
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
