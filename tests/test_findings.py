@@ -56,3 +56,18 @@ def test_naive_durations_ignore_the_zone(new_york):
 def test_current_of_decoded_tables(spark):
     row = spark.createDataFrame([(-14, [3316, 3324])], "hr23_pack_current_cA int, cells array<int>")
     assert other_protocol_units(row, F.col("cells")).first().BatteryCurrent == -1.4
+
+
+def test_default_cuts_split_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from wiretide.operators.runs import CUT, ROWS_PER_CUT, run
+
+    n = 4 * ROWS_PER_CUT
+    rows = spark.range(n).select(F.when(F.col("id") % 50 == 0, "cold").otherwise("hot").alias("k"), F.lit("same").alias("path"), "id")
+    cut = run(rows, ["k"], ["path", "id"])
+    sizes = {tuple(r[:2]): r["count"] for r in cut.df.groupBy("k", CUT).count().collect()}
+    assert sizes[("cold", None)] == n // 50
+    assert len(sizes) >= 4 and max(sizes.values()) < 2 * ROWS_PER_CUT
+    last = cut.running_sum({"n": F.lit(1)}).done().groupBy("k").agg(F.max("n").alias("n"), F.count_distinct("n").alias("d"))
+    assert {r["k"]: (r["n"], r["d"]) for r in last.collect()} == {"cold": (n // 50,) * 2, "hot": (n - n // 50,) * 2}
