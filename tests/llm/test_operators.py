@@ -266,3 +266,25 @@ def test_attention_is_a_causal_probability():
     again, real2, _ = attention.windows(changed, np.array([0, 50]), model.groups)
     a, b = model.log_probabilities(ids, real, target), model.log_probabilities(again, real2, target)
     assert np.allclose(a.ravel()[:31], b.ravel()[:31], atol=1e-5)
+
+
+def test_lm_learns_from_every_training_token(spark):
+    """More texts than the former sample held; the words of the later ones were unknown to it."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(PROSE.split(), 30)) + f" {chr(0x4E00 + i)} end") for i in range(1800)]
+    lines = open(lm_score.VOCABULARY, "rb").read()
+    subwords = lm_score.Subwords(lines)
+    plain = [[x for w in t.encode().lower().split() for x in subwords.of(w)] + [subwords.end] for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    single = np.bincount(np.concatenate(plain), minlength=subwords.end + 1)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+    chunks = table.mapInArrow(lm_score._chunked(spark.sparkContext.broadcast(lines)), lm_score.CHUNK).cache()
+    model, counts, windows = lm_score.learned(chunks, single, subwords.end)
+    assert windows == sum(-(-len(s) // attention.STRIDE) for s in plain) and len(plain) < len(rows)
+    near = attention.frequent(single)
+    beside = np.zeros((2 * (attention.SINGLE + 1), len(single)), np.int64)
+    for s in map(np.array, plain):
+        np.add.at(beside, (near[s[:-1]], s[1:]), 1)
+        np.add.at(beside, (attention.SINGLE + 1 + near[s[1:]], s[:-1]), 1)
+    assert (counts.group == attention.group_tokens(near, beside)).all()
+    assert (counts.group[single > 0] < attention.GROUPS - 1).all()
+    assert np.isfinite(model.packed()).all()
