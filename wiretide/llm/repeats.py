@@ -10,17 +10,20 @@ windows have equal anchors at equal places. Consecutive windows with one anchor
    in a task that sorts suffixes by prefix doubling. In suffix order, the previous and the next
    smaller position of a suffix are the earlier suffixes that share most with it: this gives the
    longest-previous-factor array, and the same with positions reversed the longest next factor.
-   A window is repeated where one of the two reaches ``LENGTH``; removing only previous factors
-   keeps first copies.
+   A window is repeated where one of the two reaches ``LENGTH``; with ``keep="first"`` only
+   previous factors count.
 3. An anchor with more than ``MOST_VARIANTS`` different stretches is split further: its windows are
    counted one by one by hash, over all tasks.
 
+With ``keep="first"`` a window goes only if an equal one comes earlier, by row and place. Copies of a
+stretch after its first go as a whole. All windows of first copies take part in steps 2 and 3, as
+their own first copy may stand in another stretch of the anchor.
+
 Runs of repeated windows are merged per document and cut out.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,7 +187,11 @@ def repeated(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return earlier, later
 
 
-def _settled(table: pa.Table) -> pa.Table:
+def _settled(keep: str):
+    return lambda table: _settled_share(table, keep)
+
+
+def _settled_share(table: pa.Table, keep: str) -> pa.Table:
     """Repeated runs of the single stretches of a share of anchors."""
     table = table.sort_by([("anchor", "ascending"), ("row", "ascending"), ("start", "ascending")])
     rows, start, windows = table["row"].to_numpy(), table["start"].to_numpy(), table["windows"].to_numpy().astype(np.int64)
@@ -202,7 +209,7 @@ def _settled(table: pa.Table) -> pa.Table:
         piece = np.repeat(np.arange(high - low), windows[low:high])
         within = np.arange(len(piece)) - np.repeat(np.cumsum(windows[low:high]) - windows[low:high], windows[low:high])
         earlier, later = repeated(data, first[piece] + within)
-        hit = np.flatnonzero((earlier | later) & single[low:high][piece])
+        hit = np.flatnonzero((earlier if keep == "first" else earlier | later) & single[low:high][piece])
         if len(hit):
             cut = np.r_[True, (piece[hit][1:] != piece[hit][:-1]) | (within[hit][1:] != within[hit][:-1] + 1)]
             head, tail = hit[cut], hit[np.r_[np.flatnonzero(cut)[1:] - 1, len(hit) - 1]]
@@ -234,39 +241,43 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns doc_id, text, spans (flat begin, end, ...)."""
     for batch in batches:
         data, offsets = utf8(batch.column(1))
-        whole, facts = memoryview(data), []
+        whole, sizes, cuts, kept = memoryview(data), [], [], []
         spans = batch.column(2)
         for i in range(batch.num_rows):
             low, high = int(offsets[i]), int(offsets[i + 1])
             edges = spans[i].values.to_numpy() if spans[i].is_valid else np.zeros(0, np.int64)
-            digest, at, gone, n = hashlib.sha256(), 0, 0, 0
-            if len(edges):
-                begin, end = merged(edges[::2], edges[1::2])
-                n = len(begin)
-                for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-                    digest.update(whole[low + at : low + a])
-                    at, gone = b, gone + b - a
-            digest.update(whole[low + at : high])
-            facts.append((high - low, gone, n, digest.hexdigest()))
-        columns = list(zip(*facts, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """``(row, begin, end)`` byte spans of repeated windows, from ``rows (row, text)``; they may overlap."""
+            begin, end = (x.tolist() for x in merged(edges[::2], edges[1::2])) if len(edges) else ([], [])
+            sizes.append(high - low)
+            cuts.append([{"begin": a, "end": b} for a, b in zip(begin, end, strict=True)])
+            kept.append(b"".join(whole[low + a : low + b] for a, b in zip([0, *end], [*begin, high - low], strict=True)))
+        span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(cuts, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+
+
+def repeated_spans(rows: DataFrame, keep: str = "none") -> DataFrame:
+    """``(row, begin, end)`` byte spans of repeated windows, from ``rows (row, text)``; they may overlap.
+    ``keep`` is ``none`` or ``first``, for which each row has its own number."""
+    if keep not in ("none", "first"):
+        raise ValueError(f"keep is none or first, not {keep!r}")
+    first = keep == "first"
     spark = rows.sparkSession
     found = stored(rows.mapInArrow(_stretched, STRETCH), "stretches")
     variants = stored(
         found.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("row", "start", "windows")).alias("one")), "variants"
     )
     span = [F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("end")]
-    settled = found.join(variants.where("n > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select("row", *span)
+    again = variants.where("n > 1")
+    if first:
+        later = found.join(again.select("anchor", "body", F.col("one.row").alias("__row"), F.col("one.start").alias("__start")), ["anchor", "body"])
+        settled = later.where((F.col("row") != F.col("__row")) | (F.col("start") != F.col("__start"))).select("row", *span)
+    else:
+        settled = found.join(again.select("anchor", "body"), ["anchor", "body"], "left_semi").select("row", *span)
     open_anchors = (
         variants.groupBy("anchor")
         .agg(F.count("*").alias("variants"), F.min("n").alias("least"), F.sum(F.col("one.windows") + (LENGTH - 1)).alias("bytes"))
-        .where("variants > 1 and least = 1")
+        .where("variants > 1" if first else "variants > 1 and least = 1")
     )
-    wanted = variants.join(open_anchors, "anchor").select("anchor", "variants", "one.*", (F.col("n") == 1).alias("single"))
+    wanted = variants.join(open_anchors, "anchor").select("anchor", "variants", "one.*", (F.lit(True) if first else F.col("n") == 1).alias("single"))
     wanted = stored(wanted, "wanted")
     total = wanted.agg(F.sum(F.col("windows") + LENGTH)).first()[0] or 0
     lists = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "anchor", "single")).alias("wanted"))
@@ -279,25 +290,49 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     else:
         few = pieces
     shares = max(shuffle_parts(spark), -(-total // SHARE_BYTES))
-    closer = few.withColumn("__share", F.pmod(F.xxhash64("anchor"), F.lit(shares))).groupBy("__share").applyInArrow(_settled, "row bigint, begin bigint, end bigint")
+    closer = few.withColumn("__share", F.pmod(F.xxhash64("anchor"), F.lit(shares))).groupBy("__share").applyInArrow(_settled(keep), "row bigint, begin bigint, end bigint")
     spans = settled.unionByName(closer)
     if some_crowded:
         windows = stored(pieces.join(crowded, "anchor", "left_semi").mapInArrow(_windowed, "window bigint, row bigint, begin bigint, single boolean"), "windows")
-        again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-        spans = spans.unionByName(windows.where("single").join(again, "window", "left_semi").select("row", "begin", (F.col("begin") + LENGTH).alias("end")))
+        again = windows.groupBy("window").agg(F.count("*").alias("n"), F.min(F.struct("row", "begin")).alias("one")).where("n > 1")
+        if first:
+            twice = windows.join(again, "window").where(F.struct("row", "begin") != F.col("one"))
+        else:
+            twice = windows.where("single").join(again.select("window"), "window", "left_semi")
+        spans = spans.unionByName(twice.select("row", "begin", (F.col("begin") + LENGTH).alias("end")))
     return spans
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "none") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_bytes, spans`` (merged byte spans that are cut) and
+    ``kept``, the bytes of the rest: a cut may split a character.
 
-    Removed is each byte covered by a string of ``LENGTH`` bytes that also starts elsewhere, in the
-    same text or another; strings are judged on the input and do not cross texts. NULL texts are
-    empty, texts shorter than ``LENGTH`` are never cut. Rows repeated with their id and text count as
-    copies of each other. An empty table gives no rows; further columns are not read.
+    With ``keep="none"`` each byte goes that is covered by a string of ``LENGTH`` bytes that also
+    starts elsewhere, in the same text or another. With ``keep="first"`` it goes if that string starts
+    earlier: in a row before it by id (then by hash of the text), or before it in the text. So where
+    copies overlap, the later one takes its bytes from the first. Strings are judged on the input and
+    do not cross texts. NULL texts are empty, texts shorter than ``LENGTH`` are never cut. Rows
+    repeated with their id and text count as copies of each other. An empty table gives no rows;
+    further columns are not read.
     """
     text = text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("row"))
-    spans = repeated_spans(rows.where(F.octet_length("text") >= LENGTH).select("row", "text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    if keep == "first":
+        # numbers of sorted rows rise; stored, they stay. The last key only spreads equal rows.
+        rows = rows.orderBy("doc_id", F.xxhash64("text"), F.monotonically_increasing_id())
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "sorted")
+    else:
+        rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    spans = repeated_spans(rows.where(F.octet_length("text") >= LENGTH).select("row", "text"), keep)
     per_row = spans.distinct().groupBy("row").agg(F.flatten(F.collect_list(F.array("begin", "end"))).alias("spans"))
-    return rows.join(per_row, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    schema = "doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", n_bytes bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary"
+    return rows.join(per_row, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut, schema)
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of
+    ``remove_repeats``, which keeps no copy."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return remove_repeats(docs, id_col, text_col).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
