@@ -42,11 +42,15 @@ def _flatten(records: DataFrame, fields: Mapping[str, str], extra: Sequence[Colu
 
 
 def read_polls(
-    spark: SparkSession, paths: str | Sequence[str], fields: Mapping[str, str] = POLL_FIELDS,
+    spark: SparkSession, paths: str | Sequence[str], fields: Mapping[str, str] | None = None,
     capture_id: Column | None = None,
 ) -> DataFrame:
     """Polls, one row each. Blank and malformed lines are skipped. ``capture_id`` is an
-    expression over ``_metadata.file_path``."""
+    expression over ``_metadata.file_path``. Without ``fields``, the columns are ``POLL_FIELDS`` and,
+    as text, every other field that occurs; this reads the files once more."""
+    if fields is None:
+        others = {r["field"] for r in read_poll_keys(spark, paths).collect()} - POLL_FIELDS.keys()
+        fields = POLL_FIELDS | dict.fromkeys(sorted(others), "string")
     records = spark.read.schema(RECORD_SCHEMA).option("mode", "DROPMALFORMED").json(_paths(paths))
     return _flatten(records, fields, [] if capture_id is None else [capture_id.alias("capture_id")])
 
@@ -81,7 +85,7 @@ def stream_polls(
     files_per_trigger: int = 100,
 ) -> DataFrame:
     """Poll files as they arrive in a folder (whole files, so logs must be rotated into
-    it). ``start`` skips older records."""
+    it). ``start`` skips older records. A stream has fixed columns: only ``fields`` are kept."""
     records = (
         spark.readStream.schema(RECORD_SCHEMA)
         .option("mode", "DROPMALFORMED")
