@@ -181,13 +181,12 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: ``doc_id, held_out, n_votes, weak_label`` (the label model's
     posterior of good), ``score`` (0 to 1) and ``kept`` (score of at least ``THRESHOLD``).
 
-    No given labels are read. Patterns are counted over all texts outside the held-out fold; so is
-    the training sample drawn. NULL and empty texts are scored like any text without words. Repeated
+    No given labels are read. Patterns are counted over all texts. The training sample is drawn
+    outside the held-out fold, or from all texts if all are in it. NULL and empty texts are scored like any text without words. Repeated
     rows count and are scored each; an empty table gives no rows; further columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), (fold(id_col, folds) == held_out).alias("held_out"))
-    known = rows.where(~F.col("held_out"))
-    table = known.select("text").mapInArrow(_patterned, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
+    table = rows.select("text").mapInArrow(_patterned, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     codes, counts = table["pattern"].to_numpy(), table["n"].to_numpy().astype(float)
     posterior: dict[int, float] = {}
     w = np.zeros(BUCKETS + 1)
@@ -195,6 +194,8 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         patterns = (codes[:, None] // 3 ** np.arange(LABELLERS)) % 3 - 1
         good, _ = label_model(patterns, counts)
         posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
+        known = rows.where(~F.col("held_out"))
+        known = rows if known.isEmpty() else known
         hashed = F.xxhash64(F.lit("quality"), "doc_id", "text")
         slot = F.pmod(F.xxhash64(F.lit("slot"), "doc_id"), F.lit(SAMPLE_DOCS))
         picked = known.groupBy(slot).agg(F.min(hashed).alias("__pick")).select("__pick")
