@@ -12,6 +12,7 @@ from wiretide.llm.language import language_report
 from wiretide.llm.lm_score import score_texts
 from wiretide.llm.mixing import mix_plan
 from wiretide.llm.near_dedup import near_duplicates
+from wiretide.llm.periodic import run_report
 from wiretide.llm.quality import score_quality
 from wiretide.llm.repeats import cut_repeats
 from wiretide.llm.sharding import shard_plan
@@ -62,6 +63,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
