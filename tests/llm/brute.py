@@ -120,3 +120,25 @@ def run_report(rows):
         text = " ".join(x for i, x in enumerate(w) if i not in gone)
         out[doc] = (len(found), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, *(hashlib.sha256(x.encode()).hexdigest() for x in (lines, text)))
     return out
+
+
+def divergence(rows, least_docs=10, top=10):
+    """rows: (text, lang, source); the rows (lang, source, part, item, value, rank)."""
+    from collections import Counter
+
+    docs = [(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(t)), a or "", b or "") for t, a, b in rows]
+    out = []
+    for lang in {d[1] for d in docs}:
+        mine = [d for d in docs if d[1] == lang]
+        seen = Counter(w for d in mine for w in set(d[0]))
+        kept = [w for w, n in seen.items() if n >= least_docs]
+        count = {s: Counter(w for d in mine if d[2] == s for w in d[0] if seen[w] >= least_docs) for s in {d[2] for d in mine}}
+        share = lambda c: {w: 1 + 10**9 * (c[w] + 2) // (sum(c.values()) + 2 * len(kept)) for w in kept}
+        p, q = {s: share(c) for s, c in count.items()}, share(sum(count.values(), Counter()))
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in count:
+            found = {"pair": [(o, sum(f(p[s][w], p[o][w]) for w in kept)) for o in count if o != s], "term": [(w, f(p[s][w], q[w])) for w in kept if count[s][w] and p[s][w] > q[w]]}
+            for part, items in found.items():
+                items.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, i, v, k) for k, (i, v) in enumerate(items, 1) if part == "pair" or k <= top]
+    return sorted(out)

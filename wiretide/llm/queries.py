@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wiretide.llm.decontamination import contamination_report
+from wiretide.llm.divergence import DIVERGENCE_SQL, source_divergence
 from wiretide.llm.exact_dedup import exact_duplicates
 from wiretide.llm.language import language_report
 from wiretide.llm.lm_score import score_texts
@@ -67,6 +68,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(_table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -90,4 +96,5 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
             doc_id = first_value(doc_id) OVER best AS kept, text_sha256
         FROM t WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op13_source_divergence": DIVERGENCE_SQL,
 }
