@@ -13,6 +13,7 @@ from wiretide.llm.language import language_report
 from wiretide.llm.lm_score import score_texts
 from wiretide.llm.mixing import mix_plan
 from wiretide.llm.near_dedup import near_duplicates
+from wiretide.llm.neighbours import nearest_neighbours
 from wiretide.llm.periodic import run_report
 from wiretide.llm.quality import score_quality
 from wiretide.llm.repeats import cut_repeats
@@ -64,6 +65,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(_table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_source_divergence": op13_source_divergence,
 }
