@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from wiretide.llm.shared import stored
 
-PROJECTIONS, REACH, FOUND = 96, 1.0, 0.98
+PROJECTIONS, REACH, FOUND = 64, 1.0, 0.98
 #: Vectors of a block, queries of a part, vectors of the sample for first bounds.
-BLOCK, PART, SAMPLE = 4096, 4096, 4096
+BLOCK, PART, SAMPLE = 16_384, 4096, 4096
 #: Queries that a task counts at a time, and how far windows grow from one radius to the next.
-AT_ONCE, GROW, STEPS = 512, 1.2, 4
+AT_ONCE, GROW, STEPS = 512, 1.25, 1
 
 INDEX = "block bigint, width int, ids binary, nameless binary, vectors binary, projected binary, sorted binary"
 HITS = "query bigint, query_id bigint, row bigint, vec_id bigint, score double"
@@ -195,6 +195,9 @@ def _search_block(block: _Block, queries: dict, best: _Best, which: np.ndarray,
         for k, q in enumerate(active.tolist()):
             counts = collided[q]
             for j, (a, b, c, d) in enumerate(zip(left[:, k].tolist(), low[:, q].tolist(), high[:, q].tolist(), right[:, k].tolist(), strict=True)):
+                if b == c:  # the first window
+                    counts[block.order[j, a:d]] += 1
+                    continue
                 if a < b:
                     counts[block.order[j, a:b]] += 1
                 if c < d:
