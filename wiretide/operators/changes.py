@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wiretide.functions.scalar import bit, micros
-from wiretide.operators.runs import run
+from wiretide.operators.runs import Run, run
 
 
 def changes(
@@ -42,12 +42,12 @@ def difference(
 
 
 def gap_us(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, out: str = "gap_us",
+    df: DataFrame | Run, keys: Sequence[str], order: Sequence[str], ts: str, out: str = "gap_us",
     rows_per_cut: int | None = None,
 ) -> DataFrame:
     """Microseconds since the row before, as BIGINT so that sums are exact."""
     seen = run(df, keys, order, rows_per_cut).lag({"__before": F.col(ts)}).done()
-    kind = df.schema[ts].dataType
+    kind = seen.schema[ts].dataType
     return seen.withColumn(out, micros(F.col(ts), kind) - micros(F.col("__before"), kind)).drop("__before")
 
 
@@ -77,14 +77,14 @@ def bit_transitions(
 
 
 def islands(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bad: Column, ts: str = "ts",
+    df: DataFrame | Run, keys: Sequence[str], order: Sequence[str], bad: Column, ts: str = "ts",
     at_least: int = 1, rows_per_cut: int | None = None,
 ) -> DataFrame:
     """Runs of consecutive rows where ``bad`` holds: start, end and length. A good row
     ends a run, so the number of good rows so far identifies it."""
-    flagged = df.withColumn("__bad", bad)
+    flagged = run(df, keys, order, rows_per_cut).with_columns({"__bad": bad})
     good = F.when(F.col("__bad"), 0).otherwise(1).cast("bigint")
-    placed = run(flagged, keys, order, rows_per_cut).running_sum({"__run": good}).done()
+    placed = flagged.running_sum({"__run": good}).done()
     found = placed.where("__bad").groupBy(*keys, "__run").agg(
         F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count("*").alias("missed")
     )

@@ -21,6 +21,7 @@ from wiretide.functions.binary import (
 )
 from wiretide.operators.framing import EXCEPTION, READ_HOLDING, READ_INPUT, WRITE_SINGLE
 from wiretide.operators.layouts import BLOCKS, STANDARD, Block, Field
+from wiretide.operators.runs import Run
 
 _READERS = {"u8": u8, "u16": u16, "s16": s16, "u32": u32, "s32": s32}
 _DATA_START = {READ_HOLDING: 3, READ_INPUT: 4}
@@ -82,10 +83,6 @@ def wire_table(
     )
 
 
-def cell_array(cells: Sequence[Column]) -> Column:
-    return F.array(*cells)
-
-
 def carries_registers() -> tuple[Column, Column]:
     """Whether a pair's response carries all requested registers, and where they start."""
     raw, count = F.col("rsp_raw"), F.col("count")
@@ -109,9 +106,9 @@ def _writes_register() -> Column:
     return plain & (F.col("fc") == WRITE_SINGLE) & (F.length("req_raw") >= 8)
 
 
-def register_rows(pairs: DataFrame, keys: Sequence[str] = ("capture_id",)) -> DataFrame:
-    """One row per register a pair updates. Reads take the response's words; a write
-    takes the request's."""
+def _updates() -> Column:
+    """The registers a pair updates: a read's words come from the response, a write's from the
+    request."""
     whole, start = carries_registers()
     reads = F.transform(
         F.sequence(F.lit(0), F.col("count") - 1),
@@ -120,13 +117,32 @@ def register_rows(pairs: DataFrame, keys: Sequence[str] = ("capture_id",)) -> Da
         ),
     )
     writes = F.array(F.struct(F.col("addr").alias("reg"), u16("req_raw", 4).alias("value")))
-    updates = F.when(whole & (F.col("count") > 0), reads).when(_writes_register(), writes)
-    exploded = pairs.withColumn("u", F.explode(updates))
-    return exploded.select(
+    return F.when(whole & (F.col("count") > 0), reads).when(_writes_register(), writes)
+
+
+def register_rows(pairs: DataFrame, keys: Sequence[str] = ("capture_id",)) -> DataFrame:
+    """One row per register a pair updates. Reads take the response's words; a write
+    takes the request's."""
+    return pairs.withColumn("u", F.explode(_updates())).select(
         *keys, "pair_off", F.col("rsp_ts").alias("ts"), "device", "fc", "u.reg", "u.value"
     )
 
 
+def register_updates(pairs: Run, keys: Sequence[str] = ("capture_id",)) -> Run:
+    """:func:`register_rows` in the layout of the pairs."""
+    spread = pairs.with_columns({"u": F.explode(_updates())})
+    return spread.select(*keys, "pair_off", F.col("rsp_ts").alias("ts"), "device", "fc", F.col("u.reg"), F.col("u.value"))
+
+
+def key_registers(pairs: DataFrame) -> DataFrame:
+    """``(device, fc, reg)`` of all registers that any pair updates: requests are made distinct
+    before their ranges are spread, so pairs themselves are not."""
+    whole, _ = carries_registers()
+    size = F.when(whole & (F.col("count") > 0), F.col("count")).when(_writes_register(), 1)
+    asked = pairs.select("device", "fc", "addr", size.alias("__n")).where(F.col("__n").isNotNull()).distinct()
+    return asked.select("device", "fc", F.explode(F.sequence(F.col("addr"), F.col("addr") + F.col("__n") - 1)).alias("reg")).distinct()
+
+
 def register_value(device: int, fc: int, reg: int) -> Column:
     """Value a pair gives one register, or NULL; the same rules without an explode."""
     whole, start = carries_registers()

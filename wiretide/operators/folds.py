@@ -7,10 +7,16 @@ such a rule once; batch jobs run it here and streams run it from a state store
 
 Rows are shuffled by key and cut, sorted inside the partition and streamed through
 ``mapInArrow``, so memory is one Arrow batch plus the state. A key too large for one task is
-cut as in ``runs``. Cuts start from the state their left neighbour ends with; these
-end states are found by repeating the walk over cuts whose entry state changed, until none
-does. Framing forgets its past and settles after two walks. A throttle on regular ticks may
-need a walk per cut, each over the changed cuts only. The result is always that of one task.
+cut as in ``runs``. Cuts start from the state their left neighbour ends with, and there are two
+ways to find these states:
+
+- A step that can sum up a cut (:meth:`Step.sum_up`) maps every possible entry state to the exit
+  state. One walk makes the maps, one pass over the maps alone enters each key's cuts from left to
+  right, and a second walk gives the rows: two walks, whatever the states do.
+- For others the walk is repeated over cuts whose entry state changed, until none does. Framing
+  forgets its past and settles after two walks; a queue may take a walk per cut, over those cuts.
+
+The result is always that of one task.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from wiretide.operators.runs import CUT, LAST_CUT, mark_cuts, materialise, split_points
+from wiretide.operators.runs import CUT, LAST_CUT, Run, materialise, run
 
 
 class Step:
@@ -54,6 +60,20 @@ class Step:
         state can settle."""
         return 0
 
+    def sum_up(self, rows: pd.DataFrame) -> Any:
+        """The rows of a whole cut as a JSON-friendly map of entry states to exit states, or None if
+        there is no such map."""
+        return None
+
+    def pass_through(self, state: Any, summed: Any) -> Any:
+        """The exit state of a cut that is entered with ``state``. Raises :class:`NoMap` if the map
+        does not hold for it."""
+        raise NoMap
+
+
+class NoMap(Exception):
+    """A cut cannot be summed up for some state; it has to be walked."""
+
 
 def _plain(value: Any) -> Any:
     if value is None or value is pd.NaT:
@@ -90,13 +110,12 @@ def _walker(
 
     arrow = to_arrow_schema(schema)
     names = [*keys, CUT, LAST_CUT]
-    width = len(keys)
-    own = [f for f in schema.names if f not in names] if want_exits else schema.names[width:]
+    own = [f for f in schema.names if f not in names]
 
     def pack(key: tuple, rows: pd.DataFrame) -> pa.RecordBatch:
         cols = {}
-        for pos, name in enumerate(keys):
-            cols[name] = pa.array([key[pos]] * len(rows), type=arrow.field(name).type)
+        for name, value in zip(names, key, strict=True):
+            cols[name] = pa.array([value] * len(rows), type=arrow.field(name).type)
         for name in own:
             cols[name] = pa.Array.from_pandas(rows[name], type=arrow.field(name).type)
         return pa.RecordBatch.from_arrays([cols[n] for n in arrow.names], schema=arrow)
@@ -138,8 +157,63 @@ def _walker(
     return walk
 
 
+def _summing(step: Step, keys: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row per cut: its map as JSON (NULL: none) and its weight. Holds the rows of one cut."""
+    names = [*keys, CUT, LAST_CUT]
+
+    def close(group: tuple, parts: list[pd.DataFrame], schema: pa.Schema) -> pa.RecordBatch:
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        summed = step.sum_up(rows)
+        cells = [*group[:-1], None if summed is None else json.dumps(summed), step.weight(rows)]
+        fields = [*(schema.field(n) for n in names[:-1]), pa.field("__map", pa.string()), pa.field("__weight", pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, fields, strict=True)], schema=pa.schema(fields))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, schema = None, [], None
+        for batch in batches:
+            schema = batch.schema
+            for group, rows in _segments(pa.Table.from_batches([batch]), names):
+                if group != current:
+                    if current is not None:
+                        yield close(current, parts, schema)
+                    current, parts = group, []
+                parts.append(rows)
+        if current is not None:
+            yield close(current, parts, schema)
+
+    return walk
+
+
+def _entering(step: Step, keys: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Entry state and position of every cut, from maps in the order of the cuts: one map is held."""
+    width = len(keys)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, base = None, None, 0
+        for batch in batches:
+            states, bases = [], []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(width + 3)), strict=True):
+                if row[:width] != current:
+                    current, state, base = row[:width], step.start(), 0
+                states.append(json.dumps(state, sort_keys=True))
+                bases.append(base)
+                try:
+                    state = step.pass_through(state, json.loads(row[-2])) if row[-2] else _raise()
+                except NoMap:  # from here on this key has to be walked
+                    states[-1] = None
+                base += row[-1]
+            columns = [*(batch.column(i) for i in range(width + 1)), pa.array(states, pa.string()), pa.array(bases, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[: width + 1], "__state", "__weight"])
+
+    return walk
+
+
+def _raise() -> Any:
+    raise NoMap
+
+
 def fold(
-    df: DataFrame,
+    df: DataFrame | Run,
     keys: Sequence[str],
     order: Sequence[str],
     step: Step,
@@ -147,54 +221,85 @@ def fold(
 ) -> DataFrame:
     """Run ``step`` over the rows of every key in order. The result has the key columns
     and ``step.output``. ``order`` must be total and non-null inside a key."""
+    return fold_run(df, keys, order, step, rows_per_cut=rows_per_cut).done()
+
+
+def fold_run(
+    df: DataFrame | Run,
+    keys: Sequence[str],
+    order: Sequence[str],
+    step: Step,
+    out_order: Sequence[str] = (),
+    rows_per_cut: int | None = None,
+) -> Run:
+    """:func:`fold` as a run ordered by ``out_order`` (output columns that grow along the input's
+    order): its rows keep the cuts they came from, so further steps need no new ones. Rows that are
+    laid out for these keys and this order are walked as they are."""
     keys, order = list(keys), list(order)
-    cuts = split_points(df, keys, order, rows_per_cut)
-    if cuts:
-        marked = mark_cuts(df, keys, order, cuts)
-    else:
-        marked = df.withColumns({CUT: F.lit(None).cast("int"), LAST_CUT: F.lit(True)})
-    key_fields = [df.schema[k] for k in keys]
+    laid = run(df, keys, order, rows_per_cut)
+    if laid.keys != laid.cut_keys:
+        laid = run(laid.done(), keys, order, rows_per_cut)
+    marked, split = laid.df, laid.split
+    if not split:
+        marked = marked.withColumns({CUT: F.lit(None).cast("int"), LAST_CUT: F.lit(True)})
+    key_fields, cut_field = [marked.schema[k] for k in keys], marked.schema[CUT]
 
     def sorted_parts(rows: DataFrame) -> DataFrame:
         # A fixed count, since merging small partitions would serialise the Python work; with
         # the number of cuts it grows with the data.
-        tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(len(p) + 1 for p in cuts.values()))
+        tasks = max(int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")), laid.pieces)
         ordered = rows.repartition(tasks, *keys, CUT).sortWithinPartitions(*keys, CUT, *order)
         return ordered.select(*keys, CUT, LAST_CUT, *step.needs)
 
     entries: dict[tuple, tuple[str, int]] = {}
-    if cuts:
-        exit_schema = StructType([*key_fields, marked.schema[CUT]])
-        exit_schema = exit_schema.add("__state", "string").add("__weight", "long")
-        ordered = materialise(sorted_parts(marked))
-        todo = ordered.where(F.col(CUT).isNotNull())
-        exits: dict[tuple, tuple[str, int]] = {}
-        while True:
-            walk = _walker(step, keys, exit_schema, entries, True)
-            for row in todo.mapInArrow(walk, exit_schema).collect():
-                exits[tuple(row[: len(keys) + 1])] = (row["__state"], row["__weight"])
-            settled = _enter(exits, cuts)
-            moved = [g for g, (state, _) in settled.items() if _state_of(entries, g, step) != state]
-            entries = settled
-            if not moved:
-                break
-            groups = df.sparkSession.createDataFrame(moved, StructType([*key_fields, marked.schema[CUT]]))
-            todo = _only(ordered, groups, [*keys, CUT])
-
-    schema = StructType([*key_fields, *StructType.fromDDL(step.output).fields])
-    rows = ordered if cuts else sorted_parts(marked)
-    return rows.mapInArrow(_walker(step, keys, schema, entries, False), schema)
+    ordered = sorted_parts(marked)
+    if split:
+        ordered = materialise(ordered)
+        entries = _entries(ordered, keys, key_fields, cut_field, step)
+
+    schema = StructType([*key_fields, cut_field, marked.schema[LAST_CUT], *StructType.fromDDL(step.output).fields])
+    rows = ordered.mapInArrow(_walker(step, keys, schema, entries, False), schema)
+    return Run(rows if split else rows.drop(CUT, LAST_CUT), tuple(keys), tuple(out_order), split, laid.pieces, tuple(keys), split)
+
+
+def _entries(ordered: DataFrame, keys: list[str], key_fields: list, cut_field, step: Step) -> dict[tuple, tuple[str, int]]:
+    """Entry state and position of every cut of the hot keys; one row per cut comes to the driver."""
+    exit_schema = StructType([*key_fields, cut_field]).add("__state", "string").add("__weight", "long")
+    todo, width = ordered.where(F.col(CUT).isNotNull()), len(keys)
+    entries: dict[tuple, tuple[str, int]] = {}
+    if type(step).sum_up is not Step.sum_up:
+        map_schema = StructType([*key_fields, cut_field]).add("__map", "string").add("__weight", "long")
+        maps = todo.mapInArrow(_summing(step, keys), map_schema)
+        in_order = maps.repartition(*keys).sortWithinPartitions(*keys, CUT)
+        found = {tuple(r[: width + 1]): (r["__state"], r["__weight"]) for r in in_order.mapInArrow(_entering(step, keys), exit_schema).collect()}
+        if all(state is not None for state, _ in found.values()):
+            return found
+    exits: dict[tuple, tuple[str, int]] = {}
+    while True:
+        walk = _walker(step, keys, exit_schema, entries, True)
+        for row in todo.mapInArrow(walk, exit_schema).collect():
+            exits[tuple(row[: width + 1])] = (row["__state"], row["__weight"])
+        settled = _enter(exits, width)
+        moved = [g for g, (state, _) in settled.items() if _state_of(entries, g, step) != state]
+        entries = settled
+        if not moved:
+            return entries
+        groups = ordered.sparkSession.createDataFrame(moved, StructType([*key_fields, cut_field]))
+        todo = _only(ordered, groups, [*keys, CUT])
 
 
 def _state_of(entries: dict, group: tuple, step: Step) -> str:
     return entries[group][0] if group in entries else json.dumps(step.start(), sort_keys=True)
 
 
-def _enter(exits: dict[tuple, tuple[str, int]], cuts: dict) -> dict[tuple, tuple[str, int]]:
+def _enter(exits: dict[tuple, tuple[str, int]], width: int) -> dict[tuple, tuple[str, int]]:
     """Entry state and position of every cut from the exits to its left."""
     entries = {}
-    for key, points in cuts.items():
-        present = [c for c in range(len(points) + 1) if (*key, c) in exits]
+    cuts: dict[tuple, list[int]] = {}
+    for group in exits:
+        cuts.setdefault(group[:width], []).append(group[width])
+    for key, present in cuts.items():
+        present.sort()
         base = 0
         for left, right in zip(present, present[1:]):
             base += exits[(*key, left)][1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from typing import Any
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from wiretide.functions.binary import crc16_bytes, u16
 from wiretide.functions.scalar import ntz_micros
-from wiretide.operators.folds import Step, fold
-from wiretide.operators.runs import materialise
+from wiretide.operators.folds import Step, fold_run
+from wiretide.operators.runs import Run, materialise
 
 REQUEST, RESPONSE = "request", "response"
 READ_HOLDING, READ_INPUT, WRITE_SINGLE, EXCEPTION = 3, 4, 6, 0x80
@@ -145,6 +146,22 @@ class FrameWalk(Step):
         return frames, at, role, open_count, gap
 
 
+def frame_run(
+    chunks: DataFrame,
+    keys: Sequence[str] = ("capture_id",),
+    order: Sequence[str] = ("path", "block", "line"),
+    fc4_layout: str = "echo",
+    rows_per_cut: int | None = None,
+) -> Run:
+    """:func:`walk_frames` laid out by capture and offset: the frames keep the cuts of their log
+    lines and are stored once, so all later steps on a capture share one layout."""
+    micros = ntz_micros(F.col("ts").cast("timestamp_ntz"))
+    slim = materialise(chunks.select(*keys, *order, micros.alias("us"), "bytes"))
+    walked = fold_run(slim, keys, order, FrameWalk(fc4_layout), ["off"], rows_per_cut)
+    timed = walked.with_columns({"ts": micros_to_ntz(F.col("us"))})
+    return replace(timed, df=timed.df.drop("us")).store()
+
+
 def walk_frames(
     chunks: DataFrame,
     keys: Sequence[str] = ("capture_id",),
@@ -154,11 +171,8 @@ def walk_frames(
 ) -> DataFrame:
     """Frames of every capture plus one closing row (no role) with the trailing drops.
     ``chunks`` has ``ts TIMESTAMP_NTZ`` and ``bytes BINARY`` per log line. They are parsed once
-    and stored, if the session names a shared folder, since cutting and walking read them again."""
-    micros = ntz_micros(F.col("ts").cast("timestamp_ntz"))
-    slim = chunks.select(*keys, *order, micros.alias("us"), "bytes")
-    walked = fold(materialise(slim), keys, order, FrameWalk(fc4_layout), rows_per_cut)
-    return walked.withColumn("ts", micros_to_ntz(F.col("us"))).drop("us")
+    and stored, since cutting and walking read them again."""
+    return frame_run(chunks, keys, order, fc4_layout, rows_per_cut).done()
 
 
 def micros_to_ntz(us: Column) -> Column:
@@ -166,7 +180,7 @@ def micros_to_ntz(us: Column) -> Column:
     return epoch + F.make_dt_interval(secs=(us / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)"))
 
 
-def frames_only(walked: DataFrame) -> DataFrame:
+def frames_only(walked: DataFrame | Run) -> DataFrame | Run:
     return walked.where(F.col("role").isNotNull())
 
 
@@ -175,7 +189,7 @@ def read_request(raw: Column | str) -> tuple[Column, Column]:
     return u16(raw, 2), u16(raw, 4)
 
 
-def sane_read(frames: DataFrame) -> Column:
+def sane_read() -> Column:
     """Device and count of a read request are in the ranges a master may use."""
     _, count = read_request("raw")
     return F.col("device").between(1, 247) & count.between(1, 125)

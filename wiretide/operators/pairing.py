@@ -20,7 +20,7 @@ from wiretide.operators.framing import (
     RESPONSE,
     sane_read,
 )
-from wiretide.operators.runs import run
+from wiretide.operators.runs import Run, run
 
 _FRAME = ("off", "ts", "raw", "role", "device", "fc")
 
@@ -38,17 +38,17 @@ def pair_next(
     return nxt.where(opens)
 
 
-def pair_frames(
-    frames: DataFrame,
+def pair_run(
+    frames: DataFrame | Run,
     keys: Sequence[str] = ("capture_id",),
     exceptions: bool = False,
     rows_per_cut: int | None = None,
-) -> DataFrame:
-    """A request and the next frame, if that answers it: same device and function code,
-    or (with ``exceptions``) the request's code with the exception bit set."""
-    slim = frames.select(*keys, *_FRAME)
-    nxt = F.struct(*[F.col(c) for c in _FRAME])
-    led = run(slim, keys, ["off"], rows_per_cut).lead({"rsp": nxt}).done()
+) -> Run:
+    """:func:`pair_frames` as a run ordered by ``pair_off``. Frames that are laid out keep their
+    layout, and so do the pairs."""
+    laid = run(frames, keys, ["off"], rows_per_cut)
+    slim = laid.select(*keys, *_FRAME)
+    led = slim.lead({"rsp": F.struct(*[F.col(c) for c in _FRAME])})
     codes = F.col("rsp.fc") == F.col("fc")
     if exceptions:
         codes = codes | (F.col("rsp.fc") == F.col("fc").bitwiseOR(F.lit(EXCEPTION)))
@@ -70,9 +70,21 @@ def pair_frames(
         F.col("rsp.raw").alias("rsp_raw"),
         u16("raw", 2).alias("addr"),
         F.when(F.col("fc").isin(READ_HOLDING, READ_INPUT), u16("raw", 4)).alias("count"),
+        order=["pair_off"],
     )
 
 
+def pair_frames(
+    frames: DataFrame | Run,
+    keys: Sequence[str] = ("capture_id",),
+    exceptions: bool = False,
+    rows_per_cut: int | None = None,
+) -> DataFrame:
+    """A request and the next frame, if that answers it: same device and function code,
+    or (with ``exceptions``) the request's code with the exception bit set."""
+    return pair_run(frames, keys, exceptions, rows_per_cut).done()
+
+
 class PendingQueue(Step):
     """Open read requests, oldest first, at most ``limit``. A response takes the first
     one with its device, function code and data length; a request that finds the queue
@@ -114,12 +126,12 @@ class PendingQueue(Step):
         return pd.DataFrame(found, columns=names), queue
 
 
-def _queue_rows(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
-    request = F.col("role") == REQUEST
+def _queue_rows(frames: DataFrame | Run, keys: Sequence[str]) -> DataFrame | Run:
+    request, schema = F.col("role") == REQUEST, (frames.df if isinstance(frames, Run) else frames).schema
     return frames.select(
         *keys,
         "off",
-        micros(F.col("ts"), frames.schema["ts"].dataType).alias("us"),
+        micros(F.col("ts"), schema["ts"].dataType).alias("us"),
         "role",
         "device",
         "fc",
@@ -130,24 +142,25 @@ def _queue_rows(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def pair_pending(
-    frames: DataFrame,
+    frames: DataFrame | Run,
     keys: Sequence[str] = ("capture_id",),
     limit: int = 32,
     fc4_layout: str = "echo",
     rows_per_cut: int | None = None,
 ) -> DataFrame:
     """Pair through a queue of open requests, so answers may come late or out of order."""
-    return fold(_queue_rows(frames, keys), keys, ["off"], PendingQueue(limit, fc4_layout), rows_per_cut)
+    laid = run(frames, keys, ["off"], rows_per_cut)
+    return fold(_queue_rows(laid, keys), keys, ["off"], PendingQueue(limit, fc4_layout), rows_per_cut)
 
 
 def pair_latest(
-    frames: DataFrame,
+    frames: DataFrame | Run,
     keys: Sequence[str] = ("capture_id",),
     fc4_layout: str = "echo",
     rows_per_cut: int | None = None,
 ) -> DataFrame:
     """Pair with the newest valid read request only; the first matching response uses it up."""
-    opens = (F.col("role") == REQUEST) & F.col("fc").isin(READ_HOLDING, READ_INPUT) & sane_read(frames)
+    opens = (F.col("role") == REQUEST) & F.col("fc").isin(READ_HOLDING, READ_INPUT) & sane_read()
     ask = F.when(
         opens,
         F.struct(
@@ -159,8 +172,8 @@ def pair_latest(
             u16("raw", 4).alias("count"),
         ),
     )
-    slim = frames.select(*keys, "off", "ts", "raw", "role", "device", "fc", "len")
-    held = run(slim, keys, ["off"], rows_per_cut).last_known({"ask": ask}).done()
+    slim = run(frames, keys, ["off"], rows_per_cut).select(*keys, "off", "ts", "raw", "role", "device", "fc", "len")
+    held = slim.last_known({"ask": ask}).done()
     overhead = F.when((F.col("fc") == READ_INPUT) & F.lit(fc4_layout == "echo"), 6).otherwise(5)
     hit = held.where(
         (F.col("role") == RESPONSE)

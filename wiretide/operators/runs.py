@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DateType, FractionalType, IntegralType, TimestampNTZType, TimestampType
 
 from wiretide.functions.scalar import micros
+from wiretide.storage import checkpointed, checkpointed_as_dealt
 
 #: A key with more rows is cut into pieces of about this many. Only beyond ``MAX_CUTS`` pieces
 #: over all keys (6.5 billion rows in hot keys) do the pieces themselves grow.
@@ -38,10 +39,10 @@ def _same(left: str, right: str, names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def attach(df: DataFrame, small: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join of a table bounded by the number of cuts; NULL keys match."""
-    extra = [c for c in small.columns if c not in on]
-    joined = df.alias("l").join(F.broadcast(small).alias("r"), _same("l", "r", on), "left")
+def attach(df: DataFrame, other: DataFrame, on: Sequence[str], small: bool = True) -> DataFrame:
+    """Left join; NULL keys match. ``small``: the other table is bounded by the number of cuts."""
+    extra = [c for c in other.columns if c not in on]
+    joined = df.alias("l").join((F.broadcast(other) if small else other).alias("r"), _same("l", "r", on), "left")
     return joined.select("l.*", *[F.col(f"r.{c}").alias(c) for c in extra])
 
 
@@ -148,12 +149,21 @@ def mark_cuts(
 
 @dataclass(frozen=True)
 class Run:
-    """Rows with keys and a total order; every method adds columns and keeps all rows."""
+    """Rows with keys, a total order and the cuts of hot keys; every method keeps the cuts, so
+    steps that follow each other share one layout.
+
+    ``cut_keys`` are the keys whose rows were cut. A run over more keys (``within``) uses the same
+    cuts. A step needs its input twice, for the rows and for the carries; what an earlier step added
+    is stored before that, so a chain of steps costs the sum of its steps.
+    """
 
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
     split: bool
+    pieces: int = 0
+    cut_keys: tuple[str, ...] = ()
+    pending: bool = False  # whether the rows carry a step that would have to be done again
 
     # -- plumbing -----------------------------------------------------------------
 
@@ -161,6 +171,11 @@ class Run:
     def _parts(self) -> list[str]:
         return [*self.keys, CUT] if self.split else list(self.keys)
 
+    @property
+    def _deal(self) -> list[str]:
+        """Columns that rows are dealt by; rows of finer keys are then together too."""
+        return [*self.cut_keys, CUT] if self.split else list(self.cut_keys)
+
     @property
     def window(self):
         return Window.partitionBy(*self._parts).orderBy(*self.order)
@@ -169,31 +184,60 @@ class Run:
         return self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def _carry(self, per_cut: Mapping[str, Column], across: Mapping[str, Column]) -> DataFrame:
-        """One row per cut of a hot key: ``per_cut`` aggregates, then ``across`` cuts."""
+        """One row per key and cut of a hot key: ``per_cut`` aggregates, then ``across`` cuts."""
         hot = self.df.where(F.col(CUT).isNotNull())
         rows = hot.groupBy(*self._parts).agg(*[c.alias(n) for n, c in per_cut.items()])
         return rows.select(*self._parts, *[c.alias(n) for n, c in across.items()])
 
+    def _attach(self, rows: DataFrame, carry: DataFrame) -> DataFrame:
+        """Carries to their rows; there are few unless keys are finer than those of the cuts."""
+        return attach(rows, carry, self._parts, small=self.keys == self.cut_keys)
+
     def _with(self, df: DataFrame) -> "Run":
         return replace(self, df=df)
 
+    def _stepped(self, df: DataFrame) -> "Run":
+        return replace(self, df=df, pending=self.split)
+
+    def _ready(self) -> "Run":
+        return self.store() if self.pending else self
+
     def _point(self) -> Column:
         return F.struct(*self.order)
 
+    def store(self) -> "Run":
+        """The rows dealt by key and cut, sorted, and written to the shared folder."""
+        tasks = max(int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.pieces)
+        dealt = self.df.repartition(tasks, *self._deal).sortWithinPartitions(*self._deal, *self.order)
+        return replace(self, df=checkpointed_as_dealt(dealt), pending=False)
+
     def done(self) -> DataFrame:
         """The rows without the bookkeeping columns."""
         return self.df.drop(CUT, LAST_CUT, _ALL)
 
-    def select(self, *cols) -> "Run":
-        keep = [*self._parts, *([LAST_CUT] if self.split else [])]
-        return self._with(self.df.select(*cols, *[c for c in keep if c.startswith("__")]))
+    # -- rows and columns ---------------------------------------------------------
+
+    def select(self, *cols, order: Sequence[str] | None = None) -> "Run":
+        """Other columns; keys and order (or their new names for it) must be among them."""
+        keep = [*(k for k in self.keys if k.startswith("__")), *([CUT, LAST_CUT] if self.split else [])]
+        return replace(self, df=self.df.select(*cols, *keep), order=tuple(order or self.order))
+
+    def where(self, test: Column) -> "Run":
+        return self._with(self.df.where(test))
+
+    def with_columns(self, columns: Mapping[str, Column]) -> "Run":
+        return self._with(self.df.withColumns(dict(columns)))
+
+    def within(self, *more: str) -> "Run":
+        """The same rows and cuts, each key divided by more columns."""
+        return replace(self, keys=(*self.keys, *more))
 
     # -- operators ----------------------------------------------------------------
 
     def last_known(self, columns: Mapping[str, Column]) -> "Run":
         """Most recent non-null value up to and including the row, per column. Wrap
         several columns in one ``when(cond, struct(..))`` to carry them as a row."""
-        names = list(columns)
+        self, names = self._ready(), list(columns)
         local = self.df.withColumns(
             {n: F.last(columns[n], ignorenulls=True).over(self._upto_here()) for n in names}
         )
@@ -210,12 +254,12 @@ class Run:
             {f"__k_{n}": c for n, c in held.items()},
             {f"__c_{n}": F.last(f"__k_{n}", ignorenulls=True).over(before) for n in names},
         )
-        joined = attach(local, carry, self._parts)
+        joined = self._attach(local, carry)
         filled = {n: F.coalesce(F.col(n), F.col(f"__c_{n}")["v"]) for n in names}
-        return self._with(joined.withColumns(filled).drop(*[f"__c_{n}" for n in names]))
+        return self._stepped(joined.withColumns(filled).drop(*[f"__c_{n}" for n in names]))
 
     def _neighbour(self, columns: Mapping[str, Column], step: int) -> "Run":
-        names = list(columns)
+        self, names = self._ready(), list(columns)
         boxed = {n: F.struct(columns[n].alias("v")) for n in names}
         move = F.lag if step < 0 else F.lead
         local = self.df.withColumns({f"__n_{n}": move(boxed[n], 1).over(self.window) for n in names})
@@ -226,13 +270,13 @@ class Run:
                 {f"__k_{n}": edge(boxed[n], self._point()) for n in names},
                 {f"__c_{n}": move(f"__k_{n}", 1).over(cuts) for n in names},
             )
-            local = attach(local, carry, self._parts)
+            local = self._attach(local, carry)
         picked = {
             n: (F.coalesce(f"__n_{n}", f"__c_{n}") if self.split else F.col(f"__n_{n}"))["v"]
             for n in names
         }
         scratch = [f"__{p}_{n}" for p in "nc" for n in names]
-        return self._with(local.withColumns(picked).drop(*scratch))
+        return self._stepped(local.withColumns(picked).drop(*scratch))
 
     def lag(self, columns: Mapping[str, Column]) -> "Run":
         """Values of the row before."""
@@ -244,7 +288,7 @@ class Run:
 
     def running_sum(self, columns: Mapping[str, Column]) -> "Run":
         """Sum up to and including the row; NULL counts as nothing."""
-        names = list(columns)
+        self, names = self._ready(), list(columns)
         local = self.df.withColumns({n: F.sum(columns[n]).over(self._upto_here()) for n in names})
         if not self.split:
             return self._with(local)
@@ -255,18 +299,18 @@ class Run:
             {f"__k_{n}": F.sum(columns[n]) for n in names},
             {f"__c_{n}": F.sum(f"__k_{n}").over(before) for n in names},
         )
-        joined = attach(local, carry, self._parts)
+        joined = self._attach(local, carry)
         total = {
             n: F.when(F.col(n).isNull() & F.col(f"__c_{n}").isNull(), None).otherwise(
                 F.coalesce(n, F.lit(0)) + F.coalesce(f"__c_{n}", F.lit(0))
             )
             for n in names
         }
-        return self._with(joined.withColumns(total).drop(*[f"__c_{n}" for n in names]))
+        return self._stepped(joined.withColumns(total).drop(*[f"__c_{n}" for n in names]))
 
     def total(self, columns: Mapping[str, Column]) -> "Run":
         """Sum over all rows of the key, on every row."""
-        names = list(columns)
+        self, names = self._ready(), list(columns)
         whole = Window.partitionBy(*self._parts)
         local = self.df.withColumns({n: F.sum(columns[n]).over(whole) for n in names})
         if not self.split:
@@ -276,27 +320,45 @@ class Run:
             {f"__k_{n}": F.sum(columns[n]) for n in names},
             {f"__c_{n}": F.sum(f"__k_{n}").over(everywhere) for n in names},
         )
-        joined = attach(local, carry, self._parts)
+        joined = self._attach(local, carry)
         full = {n: F.coalesce(F.col(f"__c_{n}"), F.col(n)) for n in names}
-        return self._with(joined.withColumns(full).drop(*[f"__c_{n}" for n in names]))
+        return self._stepped(joined.withColumns(full).drop(*[f"__c_{n}" for n in names]))
 
 
 def run(
-    df: DataFrame,
+    df: DataFrame | Run,
     keys: Sequence[str],
     order: Sequence[str],
     rows_per_cut: int | None = None,
 ) -> Run:
     """Start ordered work on ``df``. ``order`` must be total and non-null inside a key.
-    Without keys all rows count as one key."""
+    Without keys all rows count as one key. Rows that are laid out for these keys (or fewer) and
+    this order keep their layout: nothing is counted or cut again."""
     keys, order = tuple(keys), tuple(order)
+    if isinstance(df, Run):
+        if df.order == order and keys and keys[: len(df.cut_keys)] == df.cut_keys:
+            return replace(df, keys=keys)
+        df = df.done()
     if not keys:
         df = df.withColumn(_ALL, F.lit(0))
         keys = (_ALL,)
     cuts = split_points(df, keys, order, rows_per_cut)
     if not cuts:
-        return Run(df, keys, order, False)
-    return Run(mark_cuts(df, keys, order, cuts), keys, order, True)
+        return Run(df, keys, order, False, 0, keys)
+    return Run(mark_cuts(df, keys, order, cuts), keys, order, True, pieces(cuts), keys)
+
+
+def rows_of(df: DataFrame | Run) -> DataFrame:
+    return df.done() if isinstance(df, Run) else df
+
+
+def pieces(cuts: Mapping[tuple, list[tuple]]) -> int:
+    return sum(len(points) + 1 for points in cuts.values())
+
+
+def lay_out(df: DataFrame | Run, keys: Sequence[str], order: Sequence[str], rows_per_cut: int | None = None) -> Run:
+    """:func:`run`, with the rows stored as they are cut: the layout that several steps share."""
+    return run(df, keys, order, rows_per_cut).store()
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -307,10 +369,5 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint an expensive intermediate that later steps read more than once, in the shared
-    folder of ``spark.checkpoint.dir``. Without that setting it is recomputed."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint() if context.getCheckpointDir() else df
+    """An expensive intermediate that later steps read more than once, stored."""
+    return checkpointed(df)

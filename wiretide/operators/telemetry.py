@@ -132,3 +132,9 @@ def direction(status: Column) -> Column:
     """Current direction from the two lowest status bits."""
     code = bit(status, 1) * 2 + bit(status, 0)
     return F.when(code == 1, "idle").when(code == 2, "charge").when(code == 3, "discharge")
+
+
+def status_names(status: Column, names: Mapping[int, str]) -> Column:
+    """Names of the raised bits of a status byte, lowest bit first; NULL status, NULL names."""
+    raised = F.array(*[F.when(bit(status, b) == 1, F.lit(n)) for b, n in sorted(names.items())])
+    return F.when(status.isNotNull(), F.array_compact(raised))

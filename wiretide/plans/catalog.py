@@ -33,10 +33,10 @@ from wiretide.functions.scalar import (
 )
 from wiretide.operators import changes, dims, stats, telemetry, throttle
 from wiretide.operators.asof import asof_join, join_streams
-from wiretide.operators.decode import register_rows, wire_table, words_binary
+from wiretide.operators.decode import register_rows, register_updates, wire_table, words_binary
 from wiretide.operators.framing import frames_only
 from wiretide.operators.layouts import EXTENDED, STANDARD
-from wiretide.operators.pairing import pair_frames, pair_latest, pair_next, pair_pending
+from wiretide.operators.pairing import pair_latest, pair_next, pair_pending, pair_run
 from wiretide.operators.redact import redact_frames, redact_hex, redact_table, redact_text
 from wiretide.operators.registers import (
     FieldColumn,
@@ -44,13 +44,13 @@ from wiretide.operators.registers import (
     match_specs,
     parse_spec,
     register_keys,
-    register_state,
+    state_intervals,
     watch_register,
 )
-from wiretide.operators.runs import run
+from wiretide.operators.runs import Run, run
 from wiretide.plans import report
 from wiretide.plans import table_capture as capture
-from wiretide.plans.pipelines import frames_from_lines
+from wiretide.plans.pipelines import framed, state_table
 from wiretide.sinks.files import register_log_rows
 from wiretide.sources.hexdump import format_hexdump
 
@@ -249,6 +249,13 @@ def raised_alarms(spark, folder):
     return dims.with_bit_names(raised.groupBy("bit").agg(F.count("*").alias("n")), dims.HR20_ALARM_BITS).select("bit", "name", "n")
 
 
+@query(f"""SELECT event_id, user_id, ts, CASE WHEN k IS NOT NULL THEN list_aggregate(list_filter([{', '.join(f"CASE WHEN (k >> {b}) & 1 = 1 THEN '{n}' END" for b, n in dims.PACK_STATUS_BITS.items())}], lambda n: n IS NOT NULL), 'string_agg', '+') END AS status FROM ({SQL_K})""")
+def status_flags(spark, folder):
+    """All raised bits of a status byte by name."""
+    names = F.array_join(telemetry.status_names(F.col("k"), dims.PACK_STATUS_BITS), "+")
+    return readings(spark, folder).select("event_id", "user_id", "ts", F.when(names != "", names).alias("status"))
+
+
 @query(f"""SELECT f.bit, c.before AS prev_value, c.event_type AS new_value, count(*) AS n FROM ({_FLIPS}) f
 JOIN (SELECT * FROM ({_CHANGES}) WHERE before <> event_type) c
 ON c.user_id = f.user_id AND c.ts BETWEEN f.ts - INTERVAL 1 HOUR AND f.ts + INTERVAL 1 HOUR GROUP BY 1, 2, 3""")
@@ -585,12 +592,31 @@ def redact_columns(spark, folder):
 
 # -- a whole bus capture -------------------------------------------------------------
 
+_FRAMED: dict[tuple[str, str], Run] = {}
+
+
+def walked(spark: SparkSession, folder: str) -> Run:
+    """The capture's log, parsed and framed: laid out and stored once in a session, like the landing
+    table of a site, for all queries that ask something of its frames."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FRAMED:
+        _FRAMED[key] = framed(capture.log_lines(spark, folder), capture.LINE_KEYS)
+    return _FRAMED[key]
+
+
+def frames(spark: SparkSession, folder: str) -> Run:
+    return frames_only(walked(spark, folder))
+
+
+def pairs(spark: SparkSession, folder: str, exceptions: bool = False) -> Run:
+    return pair_run(frames(spark, folder), exceptions=exceptions)
+
 
 @query(capture.sql("SELECT capture_id, off, ts, role, device, fc, len, swap, CAST(gap AS BIGINT) AS gap FROM f"))
 def wire_frames(spark, folder):
     """Encode, write as hexdump text, parse, frame."""
-    walked = frames_from_lines(capture.log_lines(spark, folder), capture.LINE_KEYS)
-    return frames_only(walked).select("capture_id", "off", "ts", "role", "device", "fc", "len", "swap", "gap")
+    found = framed(capture.log_lines(spark, folder), capture.LINE_KEYS)
+    return frames_only(found.done()).select("capture_id", "off", "ts", "role", "device", "fc", "len", "swap", "gap")
 
 
 _STRICT = "kind <> 'exception'"  # of paired exchanges
@@ -600,13 +626,13 @@ _STRICT = "kind <> 'exception'"  # of paired exchanges
 round((epoch_us(max_by(ts, off)) - epoch_us(min_by(ts, off))) / 1000000.0, 3) AS span_seconds,
 (SELECT count(*) FROM p WHERE p.capture_id=f.capture_id AND rsp_fc=fc) AS pairs FROM f GROUP BY capture_id"""))
 def wire_totals(spark, folder):
-    walked = frames_from_lines(capture.log_lines(spark, folder), capture.LINE_KEYS)
-    return report.capture_totals(walked, pair_frames(frames_only(walked))).withColumn("span_seconds", F.round("span_seconds", 3))
+    totals = report.capture_totals(walked(spark, folder).done(), pairs(spark, folder).done())
+    return totals.withColumn("span_seconds", F.round("span_seconds", 3))
 
 
 @query(capture.sql("SELECT capture_id, role, fc, count(*) AS n FROM f GROUP BY 1, 2, 3"))
 def wire_frame_summary(spark, folder):
-    return report.frame_summary(capture.frames(spark, folder))
+    return report.frame_summary(frames(spark, folder).done())
 
 
 def _pairs_sql(where: str) -> str:
@@ -620,23 +646,23 @@ def _pair_columns(pairs: DataFrame) -> DataFrame:
 
 @query(_pairs_sql("rsp_fc = fc"))
 def wire_pairs(spark, folder):
-    return _pair_columns(pair_frames(capture.frames(spark, folder)))
+    return _pair_columns(pairs(spark, folder).done())
 
 
 @query(_pairs_sql("true"))
 def wire_pairs_with_exceptions(spark, folder):
-    return _pair_columns(pair_frames(capture.frames(spark, folder), exceptions=True))
+    return _pair_columns(pairs(spark, folder, exceptions=True).done())
 
 
 @query(capture.sql("""SELECT capture_id, req_off, req_ts, req_off + 8 AS rsp_off, rsp_ts, device, fc, addr, "count" FROM b
 WHERE kind IN ('HR', 'IR1', 'IR2', 'IR3')"""))
 def wire_pairs_latest(spark, folder):
-    return pair_latest(capture.frames(spark, folder))
+    return pair_latest(frames(spark, folder))
 
 
 def wire_pairs_pending(spark, folder):
     """Open requests queue up: an answer goes to the oldest one it fits."""
-    return pair_pending(capture.frames(spark, folder))
+    return pair_pending(frames(spark, folder))
 
 
 QUERIES["wire_pairs_pending"] = wire_pairs_pending
@@ -645,7 +671,7 @@ QUERIES["wire_pairs_pending"] = wire_pairs_pending
 @query(capture.sql(f"""SELECT capture_id, device, fc, addr, "count", count(*) AS requests, round(avg(g), 6) AS avg_ms, min(g) AS min_ms, max(g) AS max_ms FROM (
 SELECT *, (epoch_us(req_ts) - epoch_us(lag(req_ts) OVER (PARTITION BY capture_id, device, fc, addr, "count" ORDER BY rn))) / 1000.0 AS g FROM e WHERE {_STRICT} AND fc IN (3, 4)) GROUP BY 1, 2, 3, 4, 5"""))
 def wire_cadence(spark, folder):
-    rows = report.cadence(pair_frames(capture.frames(spark, folder)))
+    rows = report.cadence(pairs(spark, folder))
     return rows.withColumn("avg_ms", F.round("avg_ms", 6))
 
 
@@ -655,7 +681,7 @@ FROM (SELECT *, (epoch_us(rsp_ts) - epoch_us(req_ts)) / 1000.0 AS ms FROM e WHER
 
 
 def _latency(spark, folder):
-    rows = report.latency(pair_frames(capture.frames(spark, folder)))
+    rows = report.latency(pairs(spark, folder))
     return rows.withColumns({c: F.round(c, 6) for c in ("avg_ms", "p50", "p95")})
 
 
@@ -672,24 +698,24 @@ def wire_top_queries(spark, folder):
 @query(capture.sql("""SELECT * FROM (SELECT capture_id, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY off) AS INTEGER) AS rank, ts, device, addr, "count" AS value
 FROM f WHERE fc=6 AND role='request') WHERE rank <= 20"""))
 def wire_writes(spark, folder):
-    return report.writes(capture.frames(spark, folder))
+    return report.writes(frames(spark, folder).done())
 
 
 @query(capture.sql("""SELECT * FROM (SELECT capture_id, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY req_off) AS INTEGER) AS rank, rsp_ts AS ts, device, 131 AS fc, 2 AS code
 FROM b WHERE kind='exception') WHERE rank <= 20"""))
 def wire_exceptions(spark, folder):
-    return report.exceptions(capture.frames(spark, folder))
+    return report.exceptions(frames(spark, folder).done())
 
 
 @query(capture.sql("SELECT capture_id, count(*) FILTER (kind='write') AS writes, count(*) FILTER (kind='exception') AS exceptions FROM b GROUP BY 1"))
 def wire_anomaly_counts(spark, folder):
-    return report.anomaly_counts(capture.frames(spark, folder))
+    return report.anomaly_counts(frames(spark, folder).done())
 
 
 @query(capture.sql(f"""SELECT capture_id, period, count(*) AS blocks, max(d) AS devices, CAST(sum(d) AS BIGINT) AS combinations FROM (
 SELECT capture_id, time_bucket(INTERVAL 10 MINUTE, req_ts) AS period, fc, addr, "count", count(DISTINCT device) AS d FROM e WHERE {_STRICT} AND fc IN (3, 4) GROUP BY ALL) GROUP BY 1, 2"""))
 def wire_poll_coverage(spark, folder):
-    return report.poll_coverage(pair_frames(capture.frames(spark, folder)), "10 minutes")
+    return report.poll_coverage(pairs(spark, folder).done(), "10 minutes")
 
 
 @query(capture.sql("""SELECT capture_id, device, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS missed FROM (
@@ -697,7 +723,7 @@ SELECT *, sum(CASE WHEN answered THEN 1 ELSE 0 END) OVER (PARTITION BY capture_i
 SELECT *, coalesce(lead(role) OVER n = 'response' AND lead(device) OVER n = device, false) AS answered FROM f WINDOW n AS (PARTITION BY capture_id ORDER BY off)) WHERE role='request')
 WHERE NOT answered GROUP BY capture_id, device, g HAVING count(*) >= 2"""))
 def wire_unanswered(spark, folder):
-    return report.unanswered(capture.frames(spark, folder), at_least=2)
+    return report.unanswered(frames(spark, folder), at_least=2)
 
 
 def _s16_sql(v: str) -> str:
@@ -738,13 +764,12 @@ def _decoded_sql(fields, where="true") -> str:
 @query(_decoded_sql(STANDARD))
 def wire_decoded(spark, folder):
     """Every field of every decoded block, through hexdump text and framing."""
-    walked = frames_from_lines(capture.log_lines(spark, folder), capture.LINE_KEYS)
-    return wire_table(pair_frames(frames_only(walked)))
+    return wire_table(pairs(spark, folder).done())
 
 
 @query(_decoded_sql(EXTENDED))
 def wire_decoded_extended(spark, folder):
-    return wire_table(pair_frames(capture.frames(spark, folder)), fields=EXTENDED)
+    return wire_table(pairs(spark, folder).done(), fields=EXTENDED)
 
 
 _REG_ROWS = f"""SELECT capture_id, req_off AS pair_off, rsp_ts AS ts, device, fc, CAST(addr + i AS INTEGER) AS reg,
@@ -754,7 +779,7 @@ FROM (SELECT *, unnest(range(CASE WHEN kind='write' THEN 1 ELSE "count" END)) AS
 
 @query(capture.sql(f"SELECT device, fc, reg, count(*) AS n, min(value) AS min, max(value) AS max, CAST(sum(value) AS BIGINT) AS total FROM ({_REG_ROWS}) GROUP BY 1, 2, 3"))
 def wire_registers(spark, folder):
-    rows = register_rows(pair_frames(capture.frames(spark, folder), exceptions=True))
+    rows = register_rows(pairs(spark, folder, exceptions=True).done())
     return rows.groupBy("device", "fc", "reg").agg(
         F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.sum("value").alias("total"))
 
@@ -762,7 +787,7 @@ def wire_registers(spark, folder):
 @query(capture.sql(f"""SELECT device, fc, reg, n_distinct, CASE WHEN n_distinct <= 1 THEN 'constant' WHEN n_distinct <= 3 THEN 'state'
 WHEN n_distinct <= 10 THEN 'slow' WHEN n_distinct >= 85 THEN 'fast' ELSE 'medium' END AS kind FROM (SELECT device, fc, reg, count(DISTINCT value) AS n_distinct FROM ({_REG_ROWS}) GROUP BY 1, 2, 3)"""))
 def wire_variability(spark, folder):
-    rows = register_rows(pair_frames(capture.frames(spark, folder), exceptions=True))
+    rows = register_rows(pairs(spark, folder, exceptions=True).done())
     return stats.distinct_profile(rows, ["device", "fc", "reg"], "value")
 
 
@@ -770,13 +795,15 @@ def wire_variability(spark, folder):
 'holding:23' AS register, printf('0x%04X', value) AS value_hex, value AS value_unsigned, CAST({_s16_sql('value')} AS INTEGER) AS value_signed
 FROM ({_REG_ROWS}) WHERE fc=3 AND reg=23"""))
 def wire_register_log(spark, folder):
-    return register_log_rows(watch_register(pair_frames(capture.frames(spark, folder)), 3, 23))
+    return register_log_rows(watch_register(pairs(spark, folder).done(), 3, 23))
 
 
+#: Registers that occur in the capture, so that the columns found are these.
+STATE_SPECS = ["1:3:11", "sw@2:3:23", "1:4:0x15+1", "2:4:0x28", "1:6:231", "b@1:3:19"]
 STATE_COLUMNS = [
-    FieldColumn(1, 3, 11, 0, "w"), FieldColumn(2, 3, 23, 0, "sw"), FieldColumn(2, 4, 0x15, 1, "w"),
-    FieldColumn(5, 4, 0x28, 0, "w"), FieldColumn(1, 6, 231, 0, "w"),
-    *[FieldColumn(1, 3, 19, 0, "b", i, i) for i in range(3)],
+    FieldColumn(1, 3, 11, 0, "w"), FieldColumn(2, 3, 23, 0, "sw"), FieldColumn(1, 4, 0x15, 1, "w"),
+    FieldColumn(2, 4, 0x28, 0, "w"), FieldColumn(1, 6, 231, 0, "w"),
+    *[FieldColumn(1, 3, 19, 0, "b", i, i) for i in range(16)],
 ]
 
 
@@ -807,18 +834,55 @@ WINDOW s AS (PARTITION BY capture_id ORDER BY rn)) WHERE rk = 1 OR row({names})
 
 @query(_state_sql())
 def wire_register_state(spark, folder):
-    return register_state(pair_frames(capture.frames(spark, folder), exceptions=True), STATE_COLUMNS)
+    return state_table(walked(spark, folder), STATE_SPECS)[0].select("capture_id", "pair_off", "ts", *[c.name for c in STATE_COLUMNS])
+
+
+_INTERVALS = """SELECT {keys}, device, fc, reg, value, ts AS from_ts, {place}, lead(ts) OVER w AS to_ts, {place_to}
+FROM (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS rk FROM ({rows}) WINDOW w AS (PARTITION BY {keys}, device, fc, reg ORDER BY {order}))
+WHERE rk = 1 OR value IS DISTINCT FROM before WINDOW w AS (PARTITION BY {keys}, device, fc, reg ORDER BY {order})"""
+
+
+def _intervals_sql(rows: str, order: list[str]) -> str:
+    place, to = ", ".join(f"{o} AS from_{o}" for o in order), ", ".join(f"lead({o}) OVER w AS to_{o}" for o in order)
+    return _INTERVALS.format(keys="capture_id", place=place, place_to=to, order=", ".join(order), rows=rows)
+
+
+@query(capture.sql(f"""SELECT capture_id, device, fc, reg, count(*) AS n, count(to_ts) AS ended, CAST(sum(value) AS BIGINT) AS total, max(to_pair_off - from_pair_off) AS longest,
+max(epoch_us(to_ts) - epoch_us(from_ts)) AS longest_us FROM ({_intervals_sql(_REG_ROWS, ["pair_off"])}) GROUP BY 1, 2, 3, 4"""))
+def wire_state_intervals(spark, folder):
+    """Log text to the state of every register, from when until when it held which value; here
+    how many intervals there are and the longest of each."""
+    held = state_intervals(register_updates(pairs(spark, folder, exceptions=True).store()))
+    us = F.timestamp_diff("MICROSECOND", F.col("from_ts"), F.col("to_ts"))
+    return held.groupBy("capture_id", "device", "fc", "reg").agg(
+        F.count("*").alias("n"), F.count("to_ts").alias("ended"), F.sum("value").alias("total"),
+        F.max(F.col("to_pair_off") - F.col("from_pair_off")).alias("longest"), F.max(us).alias("longest_us"))
+
+
+_WIDE_REGS = """SELECT 'site_' || CAST(l_suppkey % 2 AS VARCHAR) AS capture_id, CAST(1 + l_suppkey % 5 AS INTEGER) AS device, 3 AS fc, CAST(l_partkey AS INTEGER) AS reg,
+CAST(l_quantity AS INTEGER) // 10 AS value, l_orderkey * 10 + l_linenumber AS seq, TIMESTAMP '2026-01-01' + to_seconds(l_orderkey) AS ts FROM lineitem"""
+
+
+@query(_intervals_sql(_WIDE_REGS, ["seq", "value"]))
+def register_intervals(spark, folder):
+    """Some thousand registers of a few captures: more than a table could have columns."""
+    li, start = table(spark, folder, "lineitem"), F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    updates = li.select(
+        F.concat(F.lit("site_"), (F.col("l_suppkey") % 2).cast("string")).alias("capture_id"), (1 + F.col("l_suppkey") % 5).cast("int").alias("device"),
+        F.lit(3).alias("fc"), F.col("l_partkey").cast("int").alias("reg"), F.floor(F.col("l_quantity").cast("int") / 10).cast("int").alias("value"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (start + F.make_dt_interval(secs=F.col("l_orderkey").cast("decimal(18,6)"))).alias("ts"))
+    return state_intervals(updates, order=["seq", "value"])
 
 
 @query(capture.sql(f"""SELECT capture_id, kind AS block, device, count(*) AS n, count(*) FILTER (absent) AS absent FROM b WHERE kind IN ('IR1', 'IR2', 'IR3') GROUP BY 1, 2, 3"""))
 def wire_absent_packs(spark, folder):
-    pairs = pair_frames(capture.frames(spark, folder)).where(F.col("fc") == 4)
+    found = pairs(spark, folder).done().where(F.col("fc") == 4)
     data = F.col("rsp_raw").substr(F.lit(5), F.length("rsp_raw") - 6)
     block = F.when(F.col("addr") == 0, "IR1").when(F.col("addr") == 21, "IR2").otherwise("IR3")
     gone = F.lit(False)
     for name in ("IR1", "IR2", "IR3"):
         gone = F.when(block == name, telemetry.absent_block(data, name)).otherwise(gone)
-    return pairs.groupBy("capture_id", block.alias("block"), "device").agg(F.count("*").alias("n"), F.count_if(gone).alias("absent"))
+    return found.groupBy("capture_id", block.alias("block"), "device").agg(F.count("*").alias("n"), F.count_if(gone).alias("absent"))
 
 
 SERIAL = "01122334"
@@ -828,7 +892,7 @@ SERIAL = "01122334"
 SELECT capture_id, CASE WHEN fc=4 THEN {' || '.join(f"chr({capture.sql_sent(i)} >> 8) || chr({capture.sql_sent(i)} & 255)" for i in range(10))} ELSE '' END AS serial FROM b WHERE kind IN ('HR', 'IR1', 'IR2', 'IR3')) GROUP BY 1"""))
 def wire_redacted(spark, folder):
     """Serials masked inside frames; the frames stay valid."""
-    reads = capture.frames(spark, folder).where((F.col("role") == "response") & F.col("fc").isin(3, 4))
+    reads = frames(spark, folder).done().where((F.col("role") == "response") & F.col("fc").isin(3, 4))
     hidden = redact_frames(reads, [SERIAL]).withColumn("ok", valid_crc("raw"))
     masked = ascii_text("raw", 4, 20).contains("X" * len(SERIAL))
     return hidden.groupBy("capture_id").agg(F.count("*").alias("frames"), F.count_if(masked & (F.col("fc") == 4)).alias("masked"), F.count_if("ok").alias("valid"))
@@ -841,7 +905,7 @@ _CELLS = "[" + ", ".join(capture.sql_sent(i) for i in range(16)) + "]"
 CAST(list_position(cells, list_min(cells)) AS INTEGER) AS "MinCellId", CAST(list_position(cells, list_max(cells)) AS INTEGER) AS "MaxCellId"
 FROM (SELECT capture_id, req_off AS pair_off, device, {_CELLS} AS cells FROM e WHERE kind='IR3')"""))
 def wire_cell_extremes(spark, folder):
-    wire = wire_table(pair_frames(capture.frames(spark, folder)), fields=[f for f in STANDARD if f.name.startswith("cell_") and f.block == "IR3"])
+    wire = wire_table(pairs(spark, folder).done(), fields=[f for f in STANDARD if f.name.startswith("cell_") and f.block == "IR3"])
     cells = F.array(*[F.col(f"cell_{i}_mV") for i in range(16)])
     units = telemetry.other_protocol_units(wire.where((F.col("fc") == 4) & (F.col("addr") == 40)), cells)
     return units.select("capture_id", "pair_off", "device", "MinCellVoltage", "MaxCellVoltage", "MinCellId", "MaxCellId")
@@ -852,8 +916,7 @@ SELECT *, lag(online) OVER (PARTITION BY capture_id, device ORDER BY pair_off) A
 SELECT capture_id, device, req_off AS pair_off, rsp_ts AS ts, {capture.sql_sent(11)} // 8192 AS online FROM e WHERE kind='HR')) WHERE before <> online"""))
 def wire_capacity_changes(spark, folder):
     """Steps of the online-capacity register, in coarse units."""
-    pairs = pair_frames(capture.frames(spark, folder))
-    wire = wire_table(pairs, fields=[f for f in EXTENDED if f.name == "hr11_online_Ah"])
+    wire = wire_table(pairs(spark, folder).done(), fields=[f for f in EXTENDED if f.name == "hr11_online_Ah"])
     steps = wire.withColumn("online", F.floor(F.col("hr11_online_Ah") / 8192).cast("int"))
     found = changes.changes(steps, ["capture_id", "device"], ["pair_off"], "online")
     return found.select("capture_id", "device", "pair_off", "ts", "prev_value", "new_value")
@@ -879,8 +942,8 @@ def _order_streams(spark, folder):
 @query(capture.sql(f"""{', o AS (SELECT *, ' + "'bus_' || CAST(o_custkey % 8 AS VARCHAR) AS capture_id, TIMESTAMP '2026-01-01' + to_milliseconds(o_orderkey*1300) AS ts FROM orders) "} {_JOINED}"""))
 def joined_streams(spark, folder):
     """Log text, polls and tags to one table: the flagship job."""
-    walked = frames_from_lines(capture.log_lines(spark, folder), capture.LINE_KEYS)
-    wire = wire_table(pair_frames(frames_only(walked)))
+    found = framed(capture.log_lines(spark, folder), capture.LINE_KEYS)
+    wire = wire_table(pair_run(frames_only(found)).done())
     slim = wire.select("capture_id", "pair_off", "ts", "device", "fc", "addr", "hr23_pack_current_cA", "soc_pct")
     polls, tags = _order_streams(spark, folder)
     return join_streams(slim, polls, tags, by=["capture_id"], seq={"wire": "pair_off", "polls": "seq", "tags": "seq"})

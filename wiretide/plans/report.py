@@ -11,7 +11,7 @@ from wiretide.functions.binary import u8, u16
 from wiretide.functions.scalar import duration_ms
 from wiretide.operators.changes import gap_summary, gap_us, islands
 from wiretide.operators.framing import EXCEPTION, READ_HOLDING, READ_INPUT, REQUEST, WRITE_SINGLE, frames_only
-from wiretide.operators.runs import run
+from wiretide.operators.runs import Run, rows_of, run
 from wiretide.operators.stats import with_quantiles
 
 KEYS = ("capture_id",)
@@ -38,8 +38,9 @@ def frame_summary(frames: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return frames.groupBy(*keys, "role", "fc").agg(F.count("*").alias("n"))
 
 
-def cadence(pairs: DataFrame, keys: Sequence[str] = KEYS, rows_per_cut: int | None = None) -> DataFrame:
-    """Gap between consecutive requests of the same read query."""
+def cadence(pairs: DataFrame | Run, keys: Sequence[str] = KEYS, rows_per_cut: int | None = None) -> DataFrame:
+    """Gap between consecutive requests of the same read query. Pairs that are laid out by capture
+    keep that layout: queries divide its cuts."""
     reads = pairs.where(F.col("fc").isin(READ_HOLDING, READ_INPUT))
     by = [*keys, *QUERY]
     gaps = gap_us(reads.select(*by, "pair_off", "req_ts"), by, ["pair_off"], "req_ts", "gap_us", rows_per_cut)
@@ -47,7 +48,7 @@ def cadence(pairs: DataFrame, keys: Sequence[str] = KEYS, rows_per_cut: int | No
 
 
 def latency(
-    pairs: DataFrame, keys: Sequence[str] = KEYS, probabilities: dict[str, float] | None = None,
+    pairs: DataFrame | Run, keys: Sequence[str] = KEYS, probabilities: dict[str, float] | None = None,
     rows_per_cut: int | None = None,
 ) -> DataFrame:
     """Response time per query; writes are grouped by device and function code only."""
@@ -57,6 +58,7 @@ def latency(
         F.when(read, F.col("addr")).alias("addr"), F.when(read, F.col("count")).alias("count"),
         duration_ms(F.col("req_ts"), F.col("rsp_ts")).alias("ms"), "pair_off",
     )
+    timed = rows_of(timed.store() if isinstance(timed, Run) else timed)  # read for counts and for ranks
     aggregates = [
         F.count("*").alias("n"), F.avg("ms").alias("avg_ms"), F.min("ms").alias("min_ms"),
         F.max("ms").alias("max_ms"), F.min("pair_off").alias("first_pair_off"),
@@ -110,7 +112,7 @@ def poll_coverage(pairs: DataFrame, every: str, keys: Sequence[str] = KEYS) -> D
 
 
 def comms_failures(
-    frames: DataFrame, answered: Column, keys: Sequence[str] = KEYS, at_least: int = 20,
+    frames: DataFrame | Run, answered: Column, keys: Sequence[str] = KEYS, at_least: int = 20,
     rows_per_cut: int | None = None,
 ) -> DataFrame:
     """Runs of consecutive requests without an answer."""
@@ -118,29 +120,31 @@ def comms_failures(
 
 
 def unanswered(
-    frames: DataFrame, keys: Sequence[str] = KEYS, at_least: int = 20, rows_per_cut: int | None = None
+    frames: DataFrame | Run, keys: Sequence[str] = KEYS, at_least: int = 20, rows_per_cut: int | None = None
 ) -> DataFrame:
     """Per device: polls missed in a row. A poll is answered when the next frame is its
     response."""
-    slim = frames.select(*keys, "off", "ts", "role", "device", "fc")
+    slim = run(frames, keys, ["off"], rows_per_cut).select(*keys, "off", "ts", "role", "device", "fc")
     nxt = F.struct("role", "device", "fc")
-    asked = run(slim, keys, ["off"], rows_per_cut).lead({"__rsp": nxt}).done().where(F.col("role") == REQUEST)
+    asked = slim.lead({"__rsp": nxt}).where(F.col("role") == REQUEST)
     answered = F.coalesce(
         (F.col("__rsp.role") != REQUEST) & (F.col("__rsp.device") == F.col("device")), F.lit(False)
     )
-    flagged = asked.withColumn("answered", answered).drop("__rsp")
+    flagged = asked.select(*keys, "off", "ts", "role", "device", "fc", answered.alias("answered"))
     return comms_failures(flagged, F.col("answered"), [*keys, "device"], at_least, rows_per_cut)
 
 
-def report(walked: DataFrame, pairs: DataFrame, keys: Sequence[str] = KEYS) -> dict[str, DataFrame]:
-    """All sections of the capture report."""
-    frames = frames_only(walked)
-    timed = latency(pairs, keys)
+def report(walked: DataFrame | Run, pairs: DataFrame | Run, keys: Sequence[str] = KEYS) -> dict[str, DataFrame]:
+    """All sections of the capture report. Several read the pairs, so a run of them is stored."""
+    if isinstance(pairs, Run):
+        pairs = pairs.store()
+    rows, found = rows_of(walked), rows_of(pairs)
+    frames = frames_only(rows)
     return {
-        "totals": capture_totals(walked, pairs, keys),
+        "totals": capture_totals(rows, found, keys),
         "frame_summary": frame_summary(frames, keys),
         "cadence": cadence(pairs, keys),
-        "latency": top_queries(timed, keys),
+        "latency": top_queries(latency(found, keys), keys),
         "writes": writes(frames, keys),
         "exceptions": exceptions(frames, keys),
     }
