@@ -253,21 +253,105 @@ def test_lm(docs, empty):
     assert lm_score.score_texts(empty).count() == 0
 
 
+def small_model(seed=7):
+    """A model over 12 ids with random weights, and sequences for it."""
+    rng = np.random.default_rng(seed)
+    group = np.r_[np.arange(8), 8, 8, 9, 9]
+    model = attention.Attention(group, rng.normal(size=(12, attention.DEPTH)).astype(np.float32))
+    model.direct[:] = rng.normal(size=model.direct.shape)
+    model.distance[:] = rng.normal(size=model.distance.shape)
+    return model, [rng.integers(0, 12, n) for n in (50, 1, 17, 40, 16)]
+
+
+def joined(sequences):
+    return np.concatenate(sequences).astype(np.int32), np.cumsum([0, *map(len, sequences)])
+
+
 def test_attention_is_a_causal_probability():
-    model = attention.Attention()
-    rng = np.random.default_rng(7)
-    sequences = [rng.integers(0, 6, 50) for _ in range(20)]
-    model.train(sequences)
-    ids, real, target = attention.windows(sequences[0], np.array([0, 50]), model.groups)
-    total = sum(np.exp(model.log_probabilities(ids, real, np.full_like(target, g))) for g in range(model.groups))
-    assert np.allclose(total[real[:, attention.BEFORE :]], 1, atol=1e-4)
+    model, sequences = small_model()
+    windows = attention.Windows(*joined(sequences[:1]), model.start_id)
+    ids, real, target = windows.take(np.arange(len(windows)))
+    ends = [np.flatnonzero(model.group == g)[:1] for g in range(10)]
+    whole = sum(np.exp(model.log_probabilities(ids, real, np.full_like(target, e[0]))) for e in ends)
+    logits = np.exp(model.log_probabilities(ids, real, target))
+    assert (whole[real[:, attention.BEFORE :]] <= 1 + 1e-4).all() and (logits > 0).all()
     changed = sequences[0].copy()
     changed[30:] = 5
-    again, real2, _ = attention.windows(changed, np.array([0, 50]), model.groups)
+    again, real2, _ = attention.Windows(*joined([changed]), model.start_id).take(np.arange(len(windows)))
     a, b = model.log_probabilities(ids, real, target), model.log_probabilities(again, real2, target)
     assert np.allclose(a.ravel()[:31], b.ravel()[:31], atol=1e-5)
 
 
+def plain_scores(model, counts, sequences):
+    """Scores token by token, with a loop over all earlier tokens of the window."""
+    out = []
+    for s in sequences:
+        inputs, score = [model.start_id, *s[:-1].tolist()], 0.0
+        vector = lambda table, lift, i: table[model.group[i]].astype(np.float64) + model.embed[i].astype(np.float64) @ lift
+        for t, token in enumerate(s.tolist()):
+            first = max(0, t // attention.STRIDE * attention.STRIDE - attention.BEFORE)
+            q = vector(model.query, model.lift_q, inputs[t])
+            seen = range(first, t + 1)
+            scores = np.array([q @ vector(model.key, model.lift_k, inputs[j]) / attention.WIDTH**0.5 + model.distance[t - j] for j in seen])
+            weight = np.exp(scores - scores.max())
+            context = sum(w * vector(model.value, model.lift_v, inputs[j]) for w, j in zip(weight / weight.sum(), seen, strict=True))
+            logits = context @ model.out + model.direct[model.group[inputs[t]]]
+            p = np.exp(logits - logits.max())
+            score += np.log10(p[model.group[token]] / p.sum()) + counts.log10[model.group[inputs[t]], token]
+        out.append(score)
+    return out
+
+
+def test_scores_equal_a_plain_loop():
+    model, sequences = small_model()
+    counts = attention.Counts(model.group[:-1], np.random.default_rng(3).normal(-1, 0.3, (attention.GROUPS + 1, 12)).astype(np.float32))
+    ids, offsets = joined(sequences)
+    loose = attention.token_logs(model, counts, ids, offsets, batch=3)
+    model.settle()
+    assert np.allclose(np.add.reduceat(loose, offsets[:-1]), plain_scores(model, counts, sequences), atol=1e-3)
+    assert np.allclose(attention.token_logs(model, counts, ids, offsets), loose, atol=1e-3)
+
+
+def test_mixture_of_words():
+    logs, counts = np.array([-3.0, -400.0, -2.0]), np.array([5, 5, 0])
+    own, part = (1 - lm_score.ATTENTION) * 5 / 50, lm_score.ATTENTION
+    wanted = [np.log10(part * 10**-3.0 + own), np.log10(own), np.log10(part) - 2]
+    assert np.allclose(lm_score.mixture(logs, counts, 50), wanted) and (lm_score.mixture(logs, counts, 0) == logs).all()
+
+
+def test_gradients_are_those_of_the_mean_loss():
+    model, sequences = small_model(9)
+    windows = attention.Windows(*joined(sequences), model.start_id)
+    batch = windows.take(np.arange(len(windows)))
+    scored = batch[1][:, attention.BEFORE :]
+
+    def loss():
+        return -(model.log_probabilities(*batch) * scored).sum(dtype=np.float64) / scored.sum()
+
+    rng = np.random.default_rng(1)
+    for p, g in zip(model.parameters(), model.gradients(*batch), strict=True):
+        way = rng.normal(size=p.shape).astype(np.float32)
+        way *= g != 0 if (g != 0).any() else 1
+        kept, step = p.copy(), 3e-3
+        p[...] = kept + step * way
+        up = loss()
+        p[...] = kept - step * way
+        down = loss()
+        p[...] = kept
+        assert (up - down) / (2 * step) == pytest.approx(float((g * way).sum()), rel=0.05, abs=2e-3)
+
+
+def test_fit_lowers_the_loss():
+    model, _ = small_model()
+    model.direct[:] = 0
+    sequences = [np.tile([1, 4, 2, 9, 3], 30) for _ in range(6)]
+    ids, offsets = joined(sequences)
+    windows = attention.Windows(ids, offsets, model.start_id)
+    before = model.log_probabilities(*windows.take(np.arange(len(windows)))).mean()
+    model.fit(ids, offsets, 1, 0.02, 120)
+    assert model.log_probabilities(*windows.take(np.arange(len(windows)))).mean() > before + 1
+
+
 def test_lm_learns_from_every_training_token(spark):
     """More texts than the former sample held; the words of the later ones were unknown to it."""
     rng = np.random.default_rng(8)
@@ -286,5 +370,6 @@ def test_lm_learns_from_every_training_token(spark):
         np.add.at(beside, (near[s[:-1]], s[1:]), 1)
         np.add.at(beside, (attention.SINGLE + 1 + near[s[1:]], s[:-1]), 1)
     assert (counts.group == attention.group_tokens(near, beside)).all()
+    assert (model.embed[:-1] == attention.embeddings(beside)).all()
     assert (counts.group[single > 0] < attention.GROUPS - 1).all()
     assert np.isfinite(model.packed()).all()
