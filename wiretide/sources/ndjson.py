@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wiretide.sources.tail import tail_json
+
 RECORD_SCHEMA = "ts STRING, fields MAP<STRING, STRING>"
 TAG_SCHEMA = "ts STRING, tag STRING, source STRING"
 
@@ -94,3 +96,19 @@ def stream_polls(
     )
     rows = _flatten(records, fields, [])
     return rows if start is None else rows.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+
+
+def tail_polls(
+    spark: SparkSession, path: str, fields: Mapping[str, str] = POLL_FIELDS, start: str | None = None, pattern: str = "*",
+) -> DataFrame:
+    """Polls as they are appended to growing files; a record whose line is not whole yet waits."""
+    rows = _flatten(tail_json(spark, path, RECORD_SCHEMA, pattern), fields, [])
+    return rows if start is None else rows.where(F.col("ts") >= F.lit(start).cast("timestamp"))
+
+
+def tail_tags(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Tag events as they are appended; a missing source is ``manual``."""
+    records = tail_json(spark, path, TAG_SCHEMA, pattern)
+    return records.where(F.col("ts").isNotNull() & F.col("tag").isNotNull()).select(
+        F.col("ts").try_cast("timestamp").alias("ts"), "tag", F.coalesce("source", F.lit("manual")).alias("source"),
+    )
