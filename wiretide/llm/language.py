@@ -227,6 +227,17 @@ def identify(docs: DataFrame, network: Network | None = None, text_col: str = "t
     return marked.mapInArrow(_labelled(model, docs.columns.index(text_col), len(docs.columns)), schema)
 
 
+def of_a_language(docs: DataFrame, network: Network | None, text_col: str = "text", least: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` that are text of a language the ``network`` knows, their columns as they
+    were. Rejected are NULL texts, texts without a letter, and those whose pooled probability of the
+    best language is no more than ``least`` above chance: bytes that fit no language better than
+    another, over the whole text. Without a network, or with one language, only the first two."""
+    if network is None or len(network.languages) < 2:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    found = identify(docs, network, text_col)
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") > 1 / len(network.languages) + least)).select(*docs.columns)
+
+
 def spans(network: Network, text: str) -> list[tuple[int, int, str]]:
     """Runs of bytes with one label, as (begin, end, language)."""
     data = np.frombuffer(text.encode(), np.uint8)

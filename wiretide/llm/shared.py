@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. A session without
-    that setting (a local test) gets a temporary one."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="wiretide-")
-        context.setCheckpointDir(folder)
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
+from wiretide.storage import shared_folder
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -41,3 +31,14 @@ def text_of(name: str) -> Column:
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a NULL id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds
+
+
+def shielded(docs: DataFrame, needed: Sequence[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``work`` makes of ``docs``, whatever the other columns are called: all but the ``needed``
+    ones go through it under plain names and get their own back. A column that ``work`` adds comes
+    before one of that name, which is then called ``doc_<name>``."""
+    names = {c: f"x{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    out = work(docs.withColumnsRenamed(names))
+    added = [c for c in out.columns if c not in needed and c not in names.values()]
+    own = [F.col(names.get(c, c)).alias(c if c not in added else f"doc_{c}") for c in docs.columns]
+    return out.select(*own, *added)
