@@ -1,7 +1,8 @@
 """A corpus prepared for training: stages over ``documents``, each an operator of ``wiretide.llm``.
 
 A stage takes (spark, docs, sf_dir) and returns a table that is written and read again as the next
-one's input. All but the last return the columns of ``docs``.
+one's input. All but the last return the columns of ``docs``. Columns that a stage doesn't need may
+have any names.
 """
 
 from __future__ import annotations
@@ -10,39 +11,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wiretide.llm.decontamination import decontaminate
-from wiretide.llm.language import identify
+from wiretide.llm.language import learned, of_a_language
 from wiretide.llm.mixing import mixed_rows
 from wiretide.llm.near_dedup import keep_one
 from wiretide.llm.sharding import assign_shards, numbered
-from wiretide.llm.shared import stored
+from wiretide.llm.shared import shielded, stored
 
 SHARDS = 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: NULL texts and texts without a letter."""
-    return identify(docs).where("__lang <> 'und'").select(*docs.columns)
+    """Drops what is text of no language: NULL texts, texts without a letter, and texts in which the
+    network, learned from the labelled ones, sees no language more than another. Where no document
+    is labelled nothing can be learned, and only the first two go."""
+    return shielded(docs, ["doc_id", "text", "lang"], lambda rows: of_a_language(rows, learned(rows)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five words, 80 percent)."""
-    return keep_one(docs, shingle=5, percent=80)
+    return shielded(docs, ["doc_id", "text"], lambda rows: keep_one(rows, shingle=5, percent=80))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which benchmark passages make up a twentieth of the words or more."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return shielded(docs, ["doc_id", "text"], lambda rows: decontaminate(rows, benchmark, remove="documents"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that sources come near their target words."""
-    return mixed_rows(docs, F.array(F.col("source").cast("string")))
+    return shielded(docs, ["doc_id", "text", "source"], lambda rows: mixed_rows(rows, F.array(F.col("source").cast("string"))))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds each row's shard and its slot there."""
-    placed = assign_shards(docs.select("*"), [1.0] * SHARDS).drop("grown_shard")
-    return numbered(placed, ["doc_id", "text"])
+
+    def place(rows: DataFrame) -> DataFrame:
+        return numbered(assign_shards(rows, [1.0] * SHARDS).drop("grown_shard"), ["doc_id", "text"])
+
+    return shielded(docs, ["doc_id", "text"], place)
 
 
 STAGES = [
