@@ -36,6 +36,7 @@ from wiretide.operators.asof import asof_join, join_streams
 from wiretide.operators.decode import register_rows, register_updates, wire_table, words_binary
 from wiretide.operators.framing import frames_only
 from wiretide.operators.layouts import EXTENDED, STANDARD
+from wiretide.operators.overrides import override_frames
 from wiretide.operators.pairing import pair_latest, pair_next, pair_pending, pair_run
 from wiretide.operators.redact import redact_frames, redact_hex, redact_table, redact_text
 from wiretide.operators.registers import (
@@ -874,6 +875,25 @@ def register_intervals(spark, folder):
     return state_intervals(updates, order=["seq", "value"])
 
 
+_PATCHED = f"""SELECT capture_id, pair_off, any_value(device) AS device, count(*) FILTER (new <> old) AS overridden,
+any_value(printf('%02X0338', device)) || string_agg(printf('%04X', coalesce(new, old)), '' ORDER BY i) AS body FROM (
+SELECT capture_id, req_off AS pair_off, e.device, i, CAST(sent AS INTEGER) AS old, o.value AS new FROM (SELECT *, unnest(range(28)) AS i FROM e WHERE kind='HR') e
+JOIN LATERAL (SELECT {capture.sql_sent('e.i')} AS sent) s ON true LEFT JOIN o ON o.device=e.device AND o.reg=e.i) GROUP BY 1, 2 HAVING count(*) FILTER (new <> old) > 0"""
+
+
+@query(capture.sql(f"""{", o AS (SELECT CAST(1 + s_suppkey % 2 AS INTEGER) AS device, CAST(s_suppkey * 5 % 28 AS INTEGER) AS reg, CAST(max_by(s_suppkey * 37 % 65536, s_suppkey) AS INTEGER) AS value FROM supplier WHERE s_suppkey % 17 = 0 GROUP BY 1, 2) "}
+SELECT capture_id, pair_off, device, CAST(overridden AS INTEGER) AS overridden, body, CAST({_crc_sql('body')} AS INTEGER) AS crc FROM ({_PATCHED})"""))
+def override_responses(spark, folder):
+    """Registers overridden inside the recorded responses; the CRC follows."""
+    s = F.col("s_suppkey")
+    edits = table(spark, folder, "supplier").where(s % 17 == 0).select(
+        (1 + s % 2).cast("int").alias("device"), F.lit(3).alias("fc"), (s * 5 % 28).cast("int").alias("reg"), s.alias("edit_seq"), (s * 37 % 65536).cast("int").alias("value"))
+    found = override_frames(pairs(spark, folder).done(), dims.settle_overrides(edits)).where("overridden > 0")
+    size = F.length("rsp_raw")
+    crc = u8("rsp_raw", size - 2) + 256 * u8("rsp_raw", size - 1)
+    return found.select("capture_id", "pair_off", "device", "overridden", F.hex(F.substring("rsp_raw", F.lit(1), size - 2)).alias("body"), crc.alias("crc"))
+
+
 @query(capture.sql(f"""SELECT capture_id, kind AS block, device, count(*) AS n, count(*) FILTER (absent) AS absent FROM b WHERE kind IN ('IR1', 'IR2', 'IR3') GROUP BY 1, 2, 3"""))
 def wire_absent_packs(spark, folder):
     found = pairs(spark, folder).done().where(F.col("fc") == 4)

@@ -97,6 +97,15 @@ def redact_binary_files(spark: SparkSession, paths: str | Sequence[str], serials
     return files.where(~is_text_path(F.col("path"))).select("path", redact_hex(F.col("content"), serials).alias("content"))
 
 
+def redact_files(
+    spark: SparkSession, paths: str | Sequence[str], out: str, serials: Sequence[str] = (), ips: Sequence[str] = (),
+) -> None:
+    """Redacted copy of all files, whatever their kind: text under ``out``/text, one folder per file,
+    the others as rows ``(path, content)`` under ``out``/binary. Nothing of a mixed folder is lost."""
+    redact_text_files(spark, paths, f"{out}/text", serials, ips)
+    redact_binary_files(spark, paths, serials).write.parquet(f"{out}/binary")
+
+
 def capture_from_path(depth: int = 1) -> Column:
     """Name of the folder ``depth`` levels above a file, for ``capture_id``."""
     return F.element_at(F.split(F.col("path"), "/"), F.lit(-1 - depth))
