@@ -332,6 +332,28 @@ def cadence_by_type(spark, folder):
     return changes.gap_summary(changes.gap_us(events(spark, folder), by, ORDER, "ts"), by)
 
 
+QUEUE = 3
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT user_id, event_id AS off, ts, event_type IN ('click', 'view') AS asks, CAST(1 + event_id % 3 AS INTEGER) AS n,
+  CAST(event_id % 1000 AS INTEGER) AS addr, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+w AS (SELECT DISTINCT user_id, 0::BIGINT AS rn, []::STRUCT(off BIGINT, ts TIMESTAMP, addr INTEGER, n INTEGER)[] AS q, NULL::STRUCT(off BIGINT, ts TIMESTAMP, addr INTEGER, n INTEGER) AS hit,
+    NULL::BIGINT AS off, NULL::TIMESTAMP AS ts FROM f
+  UNION ALL SELECT user_id, rn, CASE WHEN asks THEN list_append(CASE WHEN len(q) >= {QUEUE} THEN q[len(q)-{QUEUE - 2}:] ELSE q END, mine) WHEN p > 0 THEN list_concat(q[:p-1], q[p+1:]) ELSE q END,
+    CASE WHEN NOT asks AND p > 0 THEN q[p] END, off, ts
+  FROM (SELECT f.user_id, f.rn, f.off, f.ts, f.asks, w.q, {{'off': f.off, 'ts': CAST(f.ts AS TIMESTAMP), 'addr': f.addr, 'n': f.n}} AS mine,
+    coalesce(list_position(list_transform(w.q, lambda x: x.n), f.n), 0) AS p FROM w JOIN f ON f.user_id = w.user_id AND f.rn = w.rn + 1))
+SELECT user_id, hit.off AS req_off, epoch_us(hit.ts) AS req_us, off AS rsp_off, epoch_us(ts) AS rsp_us, 1 AS device, 3 AS fc, hit.addr AS addr, hit.n AS "count" FROM w WHERE hit IS NOT NULL""")
+def pending_events(spark, folder):
+    """A queue of open requests per user, small enough to push old ones out: clicks and views ask,
+    other events answer the oldest request of their size."""
+    ev, n = events(spark, folder), (1 + F.col("event_id") % 3).cast("int")
+    raw = F.concat(byte_bytes(F.lit(1)), byte_bytes(F.lit(3)), word_bytes(F.col("event_id") % 1000), word_bytes(n))
+    role = F.when(F.col("event_type").isin("click", "view"), "request").otherwise("response")
+    exchanged = ev.select("user_id", F.col("event_id").alias("off"), "ts", role.alias("role"), F.lit(1).alias("device"), F.lit(3).alias("fc"), (2 * n + 5).alias("len"), raw.alias("raw"))
+    return pair_pending(exchanged, USER, limit=QUEUE)
+
+
 # -- statistics ---------------------------------------------------------------------
 
 
