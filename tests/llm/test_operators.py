@@ -312,6 +312,15 @@ def test_scores_equal_a_plain_loop():
     assert np.allclose(attention.token_logs(model, counts, ids, offsets), loose, atol=1e-3)
 
 
+def test_words_encoded_together_are_those_encoded_alone():
+    subwords = lm_score.Subwords(open(lm_score.VOCABULARY, "rb").read())
+    words = [w.encode() for w in ["the", "a1b2", "x--y", "(!)", "é", "Straße", "a\u00a0b\u2003", "12345678", "\x01\x1c", "z" * 239, "z" * 240, "q" * 900, "don't", "日本語", "\u00a0"]]
+    whole = b"  ".join(words)
+    at = np.cumsum([0, *(len(w) + 2 for w in words)])[:-1]
+    flat, n = subwords.of_all(whole, np.stack([at, at + [len(w) for w in words]], axis=1))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [subwords.of(w) for w in words]
+
+
 def test_mixture_of_words():
     logs, counts = np.array([-3.0, -400.0, -2.0]), np.array([5, 5, 0])
     own, part = (1 - lm_score.ATTENTION) * 5 / 50, lm_score.ATTENTION
