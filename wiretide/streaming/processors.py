@@ -2,15 +2,21 @@
 
 Each processor keeps one key's state and needs the RocksDB state store provider
 (:func:`use_rocksdb`). Rows of a key are put in order inside a micro-batch; across
-micro-batches arrival order counts, as it does on the wire. ``ttl_ms`` drops the state of
-keys that fall silent; it works on processing time, so use it with a trigger that keeps
-running (an available-now query with it does not end by itself).
+micro-batches arrival order counts, as it does on the wire.
+
+Keys that fall silent lose their state in one of two ways. ``ttl_ms`` counts processing time, so
+use it with a trigger that keeps running (an available-now query with it does not end by itself).
+``idle`` counts event time: once the watermark has passed a key's newest row by that much, the step
+finishes as at the end of a capture, gives what it still holds, and forgets the key. Rows behind
+the watermark are dropped by Spark; :func:`mark_late` marks them per key beforehand, so that they
+can be written elsewhere.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
@@ -32,57 +38,127 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+@dataclass(frozen=True)
+class Idle:
+    """Event-time expiry: the timestamp column, how far rows may lag behind the newest one of the
+    stream, and how long a key may be silent, both in milliseconds."""
+
+    ts: str
+    delay_ms: int
+    idle_ms: int
+
+
+EVENT_MS = "event_ms"
+
+
 class StepProcessor(StatefulProcessor):
     """Any :class:`Step` on a stream."""
 
-    def __init__(self, step: Step, keys: Sequence[str], order: Sequence[str], schema: StructType, ttl_ms: int | None):
+    def __init__(self, step: Step, keys: Sequence[str], order: Sequence[str], schema: StructType, ttl_ms: int | None, idle_ms: int | None = None):
         self.step = step
         self.keys = list(keys)
         self.order = list(order)
         self.columns = schema.names
         self.ttl_ms = ttl_ms
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("step", "state string, base bigint", self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("step", "state string, base bigint, newest bigint", self.ttl_ms)
+
+    def _rows(self, key: Any, out: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+        if out is not None and len(out):
+            fixed = pd.DataFrame({k: [v] * len(out) for k, v in zip(self.keys, key)})
+            own = [c for c in self.columns if c not in self.keys]
+            yield pd.concat([fixed, out[own].reset_index(drop=True)], axis=1)[self.columns]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         parts = list(rows)  # bounded by the source's per-trigger limit
         batch = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
         batch = batch.sort_values(self.order, kind="stable", ignore_index=True)
         held = self.state.get() if self.state.exists() else None
+        if held and self.idle_ms is not None and timerValues.getCurrentWatermarkInMs() >= int(held[2]) + self.idle_ms:
+            # the key speaks again in the very batch in which it would have been closed
+            yield from self._rows(key, self.step.finish(json.loads(held[0]), int(held[1])))
+            held = None
         state = json.loads(held[0]) if held else self.step.start()
-        base = int(held[1]) if held else 0
+        base, newest = (int(held[1]), int(held[2])) if held else (0, 0)
         out, state = self.step.feed(state, batch, base)
-        self.state.update((json.dumps(state, sort_keys=True), base + self.step.weight(batch)))
-        if out is not None and len(out):
-            fixed = pd.DataFrame({k: [v] * len(out) for k, v in zip(self.keys, key)})
-            own = [c for c in self.columns if c not in self.keys]
-            yield pd.concat([fixed, out[own].reset_index(drop=True)], axis=1)[self.columns]
+        if self.idle_ms is not None:
+            newest = max(newest, int(batch[EVENT_MS].max()))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(newest + self.idle_ms)
+        self.state.update((json.dumps(state, sort_keys=True), base + self.step.weight(batch), newest))
+        yield from self._rows(key, out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            held = self.state.get()
+            self.state.clear()
+            yield from self._rows(key, self.step.finish(json.loads(held[0]), int(held[1])))
 
     def close(self) -> None:
         pass
 
 
 def stream_step(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, ttl_ms: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, ttl_ms: int | None = None, idle: Idle | None = None,
 ) -> DataFrame:
     schema = StructType([*[df.schema[k] for k in keys], *StructType.fromDDL(step.output).fields])
+    if idle:
+        if ttl_ms:
+            raise ValueError("state expires by ttl_ms or by idle, not by both")
+        df = df.withWatermark(idle.ts, f"{idle.delay_ms} milliseconds").withColumn(EVENT_MS, F.unix_millis(idle.ts))
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=StepProcessor(step, keys, order, schema, ttl_ms),
+        statefulProcessor=StepProcessor(step, keys, order, schema, ttl_ms, idle.idle_ms if idle else None),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="ProcessingTime" if ttl_ms else "None",
+        timeMode="EventTime" if idle else "ProcessingTime" if ttl_ms else "None",
     )
 
 
+class LateMark(StatefulProcessor):
+    """Whether a row lags behind the newest row of its key, as seen before its micro-batch."""
+
+    def __init__(self, delay_ms: int):
+        self.delay_ms = delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "ms bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = self.newest.get()[0] if self.newest.exists() else None
+        newest = known
+        for batch in rows:
+            late = batch[EVENT_MS] < known - self.delay_ms if known is not None else pd.Series(False, index=batch.index)
+            newest = int(max(batch[EVENT_MS].max(), newest if newest is not None else batch[EVENT_MS].max()))
+            yield batch.drop(columns=EVENT_MS).assign(late=late.to_numpy())
+        self.newest.update((newest,))
+
+    def close(self) -> None:
+        pass
+
+
+def mark_late(df: DataFrame, keys: Sequence[str], ts: str, delay_ms: int) -> DataFrame:
+    """``df`` with ``late``: the row is older, by more than the delay, than what an earlier
+    micro-batch held of its key. Write the late ones to a table of their own and give the rest to
+    a step; a key that is slow as a whole is not late, as it would be by a watermark of the stream."""
+    schema = StructType([*df.schema.fields]).add("late", "boolean")
+    return df.withColumn(EVENT_MS, F.unix_millis(ts)).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=LateMark(delay_ms), outputStructType=schema, outputMode="Append", timeMode="None")
+
+
 def stream_frames(
     chunks: DataFrame, keys: Sequence[str] = ("capture_id",), order: Sequence[str] = ("path", "block", "line"),
-    fc4_layout: str = "echo", ttl_ms: int | None = None,
+    fc4_layout: str = "echo", ttl_ms: int | None = None, idle: Idle | None = None,
 ) -> DataFrame:
-    """Frames as bytes arrive; an incomplete tail waits for its next chunk."""
+    """Frames as bytes arrive; an incomplete tail waits for its next chunk. A capture that is
+    ``idle`` is closed: its tail is decided and its closing row (no role) comes out."""
     micros = ntz_micros(F.col("ts").cast("timestamp_ntz"))
-    slim = chunks.select(*keys, *order, micros.alias("us"), "bytes")
-    walked = stream_step(slim, keys, order, FrameWalk(fc4_layout), ttl_ms)
+    event = [F.col(idle.ts).cast("timestamp").alias(idle.ts)] if idle else []
+    slim = chunks.select(*keys, *order, micros.alias("us"), "bytes", *event)
+    walked = stream_step(slim, keys, order, FrameWalk(fc4_layout), ttl_ms, idle)
     return walked.withColumn("ts", micros_to_ntz(F.col("us"))).drop("us")
 
 
