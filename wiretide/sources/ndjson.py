@@ -36,6 +36,15 @@ def _paths(paths: str | Sequence[str]):
     return paths if isinstance(paths, str) else list(paths)
 
 
+def _file_order(name: str | None) -> list[Column]:
+    """A number that grows along a file, whatever tasks read it: where the row's block begins, plus
+    the row's number in its task, which stays below the block's length."""
+    if name is None:
+        return []
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return [(F.col("_metadata.file_block_start") + nth).alias(name)]
+
+
 def _flatten(records: DataFrame, fields: Mapping[str, str], extra: Sequence[Column]) -> DataFrame:
     """``ts`` plus one typed ``tcp_`` column per field; unusable values become NULL."""
     values = [F.col("fields")[name].try_cast(kind).alias(f"tcp_{name}") for name, kind in fields.items()]
@@ -45,16 +54,17 @@ def _flatten(records: DataFrame, fields: Mapping[str, str], extra: Sequence[Colu
 
 def read_polls(
     spark: SparkSession, paths: str | Sequence[str], fields: Mapping[str, str] | None = None,
-    capture_id: Column | None = None,
+    capture_id: Column | None = None, seq: str | None = None,
 ) -> DataFrame:
-    """Polls, one row each. Blank and malformed lines are skipped. ``capture_id`` is an
+    """Polls, one row each; ``seq`` names a column for their order in the file, which decides between
+    polls of equal time in ``join_streams``. Blank and malformed lines are skipped. ``capture_id`` is an
     expression over ``_metadata.file_path``. Without ``fields``, the columns are ``POLL_FIELDS`` and,
     as text, every other field that occurs; this reads the files once more."""
     if fields is None:
         others = {r["field"] for r in read_poll_keys(spark, paths).collect()} - POLL_FIELDS.keys()
         fields = POLL_FIELDS | dict.fromkeys(sorted(others), "string")
     records = spark.read.schema(RECORD_SCHEMA).option("mode", "DROPMALFORMED").json(_paths(paths))
-    return _flatten(records, fields, [] if capture_id is None else [capture_id.alias("capture_id")])
+    return _flatten(records, fields, [*([] if capture_id is None else [capture_id.alias("capture_id")]), *_file_order(seq)])
 
 
 def read_poll_keys(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -63,10 +73,10 @@ def read_poll_keys(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return records.select(F.explode(F.map_keys("fields")).alias("field")).distinct()
 
 
-def read_tags(spark: SparkSession, paths: str | Sequence[str], capture_id: Column | None = None) -> DataFrame:
-    """Tag events; a missing source is ``manual``."""
+def read_tags(spark: SparkSession, paths: str | Sequence[str], capture_id: Column | None = None, seq: str | None = None) -> DataFrame:
+    """Tag events; a missing source is ``manual``. ``seq`` as in :func:`read_polls`."""
     records = spark.read.schema(TAG_SCHEMA).option("mode", "DROPMALFORMED").json(_paths(paths))
-    extra = [] if capture_id is None else [capture_id.alias("capture_id")]
+    extra = [*([] if capture_id is None else [capture_id.alias("capture_id")]), *_file_order(seq)]
     return records.where(F.col("ts").isNotNull() & F.col("tag").isNotNull()).select(
         *extra, F.col("ts").try_cast("timestamp").alias("ts"), "tag",
         F.coalesce("source", F.lit("manual")).alias("source"),
