@@ -92,3 +92,19 @@ def test_stages_in_a_row(spark):
     assert all(r.shard == shards[r.doc_id] for r in out)
     for shard in {r.shard for r in out}:
         assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+
+
+def test_benchmark_in_parts(spark, monkeypatch):
+    """Parts are scanned one after the other, each in a stage of its own, with the results of one."""
+    from wiretide.llm import decontamination
+
+    docs, benchmark = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, decontamination.contamination_report(docs, benchmark).collect()))
+    written = []
+    monkeypatch.setattr(decontamination, "PART_BYTES", 4000)
+    kept = decontamination.stored
+    monkeypatch.setattr(decontamination, "stored", lambda df, what: written.append(what) or kept(df, what))
+    parts = decontamination.contamination_report(docs, benchmark)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, parts.collect())) == whole
+    assert len(written) > 2 and plan.count("MapInArrow") == 1

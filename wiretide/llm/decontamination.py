@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wiretide.llm.shared import stored
 from wiretide.llm.text import LOWER, WORD_BYTES, slices, utf8, window_hashes, word_hashes, words
 
 #: Benchmark text of one broadcast; its hash set takes about six times that in a worker.
@@ -140,6 +141,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     context, found, parts = docs.sparkSession.sparkContext, docs, 0
     for part in _parts(benchmark, item_col, item_text):
+        if parts:  # one part's windows at a time: what the last scan found is stored before the next
+            found = stored(found, "scanned")
         fields = f"__n_words{parts} bigint, __spans{parts} {HIT_SQL}, __items{parts} array<string>"
         schema = StructType([*found.schema.fields, *StructType.fromDDL(fields).fields])
         found = found.mapInArrow(_scanner(context.broadcast(part), width, found.columns.index(text_col), parts), schema)
