@@ -53,7 +53,7 @@ from wiretide.plans import report
 from wiretide.plans import table_capture as capture
 from wiretide.plans.pipelines import framed, state_table
 from wiretide.sinks.files import register_log_rows
-from wiretide.sources.hexdump import format_hexdump
+from wiretide.sources.hexdump import format_hexdump, rejected_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -645,6 +645,18 @@ def wire_frames(spark, folder):
 _STRICT = "kind <> 'exception'"  # of paired exchanges
 
 
+@query(capture.sql("""SELECT capture_id, frames, drops, rejected FROM (SELECT capture_id, count(*) AS frames, CAST(sum(gap) AS BIGINT) AS drops FROM f GROUP BY 1)
+JOIN (SELECT capture_id, count(*) AS rejected FROM x WHERE l_linenumber=1 GROUP BY 1) USING (capture_id)"""))
+def wire_malformed(spark, folder):
+    """Torn lines in the log are skipped and counted; frames and dropped bytes stay the same."""
+    lines = capture.log_lines(spark, folder)
+    first = (F.col("l_linenumber") == 1) & (F.col("flush") == 0) & (F.col("piece") == 0)
+    torn = lines.where(first).withColumns({"piece": F.lit(90), "value": F.substring("value", 1, 40)})
+    mixed = lines.unionByName(torn)
+    found = frames_only(framed(mixed, capture.LINE_KEYS).done()).groupBy("capture_id").agg(F.count("*").alias("frames"), F.sum("gap").alias("drops"))
+    return found.join(rejected_lines(mixed).where("rejected > 0").select("capture_id", "rejected"), "capture_id")
+
+
 @query(capture.sql(f"""SELECT capture_id, count(*) AS frames, CAST(sum(gap) AS BIGINT) AS drops,
 round((epoch_us(max_by(ts, off)) - epoch_us(min_by(ts, off))) / 1000000.0, 3) AS span_seconds,
 (SELECT count(*) FROM p WHERE p.capture_id=f.capture_id AND rsp_fc=fc) AS pairs FROM f GROUP BY capture_id"""))
