@@ -4,6 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from wiretide.operators import runs
 from wiretide.operators.framing import walk_frames
 from wiretide.operators.runs import Run, lay_out
 from wiretide.plans import table_capture as capture
@@ -23,7 +24,7 @@ def test_lines_and_frames_keep_the_cuts_of_the_exchanges(spark, tmp_path, monkey
     folder = lineitem(spark, tmp_path)
     columns = ["capture_id", "off", "ts", "role", "device", "fc", "len", "swap", "gap"]
     whole = sorted(map(str, frames_from_lines(capture.log_lines(spark, folder), capture.LINE_KEYS).select(*columns).collect()))
-    monkeypatch.setattr(capture, "EXCHANGES_PER_CUT", 20)
+    monkeypatch.setattr(runs, "ROWS_PER_CUT", 80)
     lines = capture.log_lines(spark, folder)
     assert isinstance(lines, Run) and lines.dealt and lines.split and lines.pieces > 8
     plan = parse_lines(lines).df._jdf.queryExecution().executedPlan().toString()
