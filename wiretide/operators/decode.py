@@ -14,6 +14,7 @@ from wiretide.functions.binary import (
     crc16,
     s16,
     s32,
+    to_signed16,
     u8,
     u16,
     u32,
@@ -26,6 +27,8 @@ from wiretide.operators.runs import Run
 
 _READERS = {"u8": u8, "u16": u16, "s16": s16, "u32": u32, "s32": s32}
 _DATA_START = {READ_HOLDING: 3, READ_INPUT: 4}
+#: So many fields are read one by one.
+FEW_FIELDS = 4
 
 
 def read_field(data: Column | str, field: Field, header: int = 0) -> Column:
@@ -36,6 +39,27 @@ def read_field(data: Column | str, field: Field, header: int = 0) -> Column:
     return value + field.bias if field.bias else value
 
 
+def _field_of_words(held: Column, field: Field) -> Column:
+    """:func:`read_field` out of the words of a block's data."""
+
+    def pair(offset: int) -> Column:
+        word = F.get(held, F.lit(offset // 2))
+        if offset % 2 == 0:
+            return word
+        return F.shiftleft(word.bitwiseAND(F.lit(255)), 8) + F.shiftright(F.get(held, F.lit(offset // 2 + 1)), 8)
+
+    if field.kind == "u8":
+        word = F.get(held, F.lit(field.offset // 2))
+        value = word.bitwiseAND(F.lit(255)) if field.offset % 2 else F.shiftright(word, 8)
+    elif field.kind in ("u16", "s16"):
+        value = pair(field.offset)
+        value = to_signed16(value) if field.kind == "s16" else value
+    else:
+        value = pair(field.offset).cast("bigint") * 65536 + pair(field.offset + 2)
+        value = F.when(value >= 2**31, value - 2**32).otherwise(value) if field.kind == "s32" else value
+    return value + field.bias if field.bias else value
+
+
 def decode_data(df: DataFrame, data: str, block: str, fields: Iterable[Field] = STANDARD) -> DataFrame:
     """Decode one block from its bare data; other lengths give NULL fields."""
     fits = F.length(data) == BLOCKS[block].size
@@ -55,13 +79,19 @@ def _is_block(block: Block, strict_start: bool) -> Column:
 def decode_pairs(
     pairs: DataFrame, fields: Sequence[Field] = STANDARD, strict_start: bool = False
 ) -> DataFrame:
-    """One sparse wide row per pair; which columns are filled depends on the block."""
-    values = {}
+    """One sparse wide row per pair; which columns are filled depends on the block. Of more than a few fields
+    the words are read together, in batches."""
+    values, many = {}, len(fields) > FEW_FIELDS
     for f in fields:
         block = BLOCKS[f.block]
-        value = read_field("rsp_raw", f, _DATA_START[block.fc])
+        alone = not many or f.kind == "text20"
+        value = read_field("rsp_raw", f, _DATA_START[block.fc]) if alone else _field_of_words(F.col("__words"), f)
         values[f.name] = F.when(_is_block(block, strict_start), value)
-    return pairs.withColumns(values)
+    if not many:
+        return pairs.withColumns(values)
+    start = F.when(F.col("rsp_fc") == READ_HOLDING, _DATA_START[READ_HOLDING]).otherwise(_DATA_START[READ_INPUT])
+    data = F.substring(F.col("rsp_raw"), start + 1, F.length("rsp_raw"))
+    return pairs.withColumn("__words", words(data)).withColumns(values).drop("__words")
 
 
 def wire_table(
