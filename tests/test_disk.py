@@ -87,3 +87,8 @@ def test_frames_are_stored_by_their_walk_alone(spark, laid, kept):
 def test_queue_walks_stored_frames_as_they_are(spark, laid, kept):
     found = text(pair_pending(laid))
     assert not kept and found == text(pair_pending(plain(spark), rows_per_cut=10**9)) and len(found) > 60
+
+
+def test_intervals_do_not_store_pairs(spark, laid, kept):
+    found = text(state_intervals(register_updates(pair_run(laid), blocks=True)))
+    assert not kept and found == text(state_intervals(register_updates(pair_run(run(plain(spark), ["capture_id"], ["off"], 10**9)), blocks=True)))
