@@ -92,3 +92,12 @@ def test_queue_walks_stored_frames_as_they_are(spark, laid, kept):
 def test_intervals_do_not_store_pairs(spark, laid, kept):
     found = text(state_intervals(register_updates(pair_run(laid), blocks=True)))
     assert not kept and found == text(state_intervals(register_updates(pair_run(run(plain(spark), ["capture_id"], ["off"], 10**9)), blocks=True)))
+
+
+def test_newest_requests_are_paired_in_place(spark, laid):
+    found = pair_latest(laid)
+    assert not shuffles(found)
+    twice = plain(spark)
+    answers = twice.where("role = 'response'").withColumn("off", F.col("off") + 5)  # a second answer comes too late
+    both = twice.unionByName(answers)
+    assert len(text(found)) > 60 and text(found) == text(pair_latest(both, rows_per_cut=10**9)) == text(pair_latest(both, rows_per_cut=7))

@@ -173,7 +173,7 @@ def pair_latest(
         ),
     )
     slim = run(frames, keys, ["off"], rows_per_cut).select(*keys, "off", "ts", "raw", "role", "device", "fc", "len")
-    held = slim.last_known({"ask": ask}).done()
+    held = slim.last_known({"ask": ask})
     overhead = F.when((F.col("fc") == READ_INPUT) & F.lit(fc4_layout == "echo"), 6).otherwise(5)
     hit = held.where(
         (F.col("role") == RESPONSE)
@@ -181,18 +181,17 @@ def pair_latest(
         & (F.col("ask.fc") == F.col("fc"))
         & (F.col("len") == 2 * F.col("ask.count") + overhead)
     )
-    first = F.min(F.struct(F.col("off").alias("off"), F.col("ts").alias("ts")))
-    return (
-        hit.groupBy(*keys, "ask").agg(first.alias("rsp"))
-        .select(
-            *keys,
-            F.col("ask.off").alias("req_off"),
-            F.col("ask.ts").alias("req_ts"),
-            F.col("rsp.off").alias("rsp_off"),
-            F.col("rsp.ts").alias("rsp_ts"),
-            F.col("ask.device").alias("device"),
-            F.col("ask.fc").alias("fc"),
-            F.col("ask.addr").alias("addr"),
-            F.col("ask.count").alias("count"),
-        )
+    # Answers to one request follow each other, so those after the first see it used before them.
+    told = hit.select(*keys, "off", "ts", "ask").lag({"__used": F.col("ask.off")}).done()
+    first = told.where(~F.col("__used").eqNullSafe(F.col("ask.off")))
+    return first.select(
+        *keys,
+        F.col("ask.off").alias("req_off"),
+        F.col("ask.ts").alias("req_ts"),
+        F.col("off").alias("rsp_off"),
+        F.col("ts").alias("rsp_ts"),
+        F.col("ask.device").alias("device"),
+        F.col("ask.fc").alias("fc"),
+        F.col("ask.addr").alias("addr"),
+        F.col("ask.count").alias("count"),
     )
