@@ -101,3 +101,15 @@ def test_newest_requests_are_paired_in_place(spark, laid):
     answers = twice.where("role = 'response'").withColumn("off", F.col("off") + 5)  # a second answer comes too late
     both = twice.unionByName(answers)
     assert len(text(found)) > 60 and text(found) == text(pair_latest(both, rows_per_cut=10**9)) == text(pair_latest(both, rows_per_cut=7))
+
+
+def test_changes_of_decoded_rows_stay_in_their_cuts(spark, laid):
+    wire = wire_table(pair_run(laid), fields=[])
+    assert wire.split and wire.order == ("pair_off",)
+
+    def found(rows):
+        return changes.changes(rows, ["capture_id", "device"], ["pair_off"], "step")
+
+    step = (F.col("pair_off") / 100).cast("int").alias("step")
+    rows = wire.select("capture_id", "device", "pair_off", step)
+    assert not shuffles(found(rows)) and text(found(rows)) == text(found(rows.done()))

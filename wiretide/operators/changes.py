@@ -12,7 +12,7 @@ from wiretide.operators.runs import Run, run
 
 
 def changes(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], field: str, rows_per_cut: int | None = None
+    df: DataFrame | Run, keys: Sequence[str], order: Sequence[str], field: str, rows_per_cut: int | None = None
 ) -> DataFrame:
     """Rows where ``field`` differs from the reading before, with ``prev_value`` and
     ``new_value``. Rows without the field are not readings; the first one is no change."""

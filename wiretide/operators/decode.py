@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,13 +96,14 @@ def decode_pairs(
 
 
 def wire_table(
-    pairs: DataFrame,
+    pairs: DataFrame | Run,
     keys: Sequence[str] = ("capture_id",),
     fields: Sequence[Field] = STANDARD,
     strict_start: bool = False,
-) -> DataFrame:
-    """Decoded rows stamped with the response time."""
-    decoded = decode_pairs(pairs, fields, strict_start)
+) -> DataFrame | Run:
+    """Decoded rows stamped with the response time. Pairs that are laid out stay so."""
+    decoded = decode_pairs(pairs.df if isinstance(pairs, Run) else pairs, fields, strict_start)
+    decoded = replace(pairs, df=decoded) if isinstance(pairs, Run) else decoded
     return decoded.select(
         *keys,
         "pair_off",

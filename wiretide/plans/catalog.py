@@ -973,8 +973,9 @@ SELECT *, lag(online) OVER (PARTITION BY capture_id, device ORDER BY pair_off) A
 SELECT capture_id, device, req_off AS pair_off, rsp_ts AS ts, {capture.sql_sent(11)} // 8192 AS online FROM e WHERE kind='HR')) WHERE before <> online"""))
 def wire_capacity_changes(spark, folder):
     """Steps of the online-capacity register, in coarse units."""
-    wire = wire_table(pairs(spark, folder).done(), fields=[f for f in EXTENDED if f.name == "hr11_online_Ah"])
-    steps = wire.withColumn("online", F.floor(F.col("hr11_online_Ah") / 8192).cast("int"))
+    wire = wire_table(pairs(spark, folder), fields=[f for f in EXTENDED if f.name == "hr11_online_Ah"])
+    online = F.floor(F.col("hr11_online_Ah") / 8192).cast("int")
+    steps = wire.select("capture_id", "device", "pair_off", "ts", online.alias("online"))
     found = changes.changes(steps, ["capture_id", "device"], ["pair_off"], "online")
     return found.select("capture_id", "device", "pair_off", "ts", "prev_value", "new_value")
 
