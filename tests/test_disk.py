@@ -113,3 +113,15 @@ def test_changes_of_decoded_rows_stay_in_their_cuts(spark, laid):
     step = (F.col("pair_off") / 100).cast("int").alias("step")
     rows = wire.select("capture_id", "device", "pair_off", step)
     assert not shuffles(found(rows)) and text(found(rows)) == text(found(rows.done()))
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "double", "string"])
+def test_distinct_values_are_gathered_as_bits(spark, kind):
+    rows = spark.range(4000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 5 > 0, (F.col("id") * 37 % 701 - 350)).cast(kind).alias("v"))
+    rows = rows.unionByName(spark.sql(f"SELECT 1L AS k, cast(v AS {kind}) AS v FROM VALUES (2147483647L), (-2147483648L), (NULL) AS t(v)"))
+    rows = rows.unionByName(spark.sql(f"SELECT 9L AS k, cast(NULL AS {kind}) AS v"))
+    found = stats.distinct_profile(rows, ["k"], "v")
+    want = rows.where("v IS NOT NULL").groupBy("k").agg(F.countDistinct("v").alias("n"))
+    assert sorted((r.k, r.n_distinct) for r in found.collect()) == sorted(map(tuple, want.collect()))
+    assert found.schema["n_distinct"].dataType.simpleString() == "bigint"
+    assert ("bit_or" in found._jdf.queryExecution().executedPlan().toString()) == (kind in ("int", "bigint"))
