@@ -115,6 +115,15 @@ def test_changes_of_decoded_rows_stay_in_their_cuts(spark, laid):
     assert not shuffles(found(rows)) and text(found(rows)) == text(found(rows.done()))
 
 
+def test_plain_lines_are_not_split_to_be_counted(spark):
+    head = "2026-01-01 00:00:00.000  00000000  "
+    lines = [head + v for v in ("01 02 |..|", "0102 03\t04 |....|", "0a| | |", "0 10 |..|", "01 0|.|", "01 02", "")] + [None, "2026-13-01 00:00:00.000  00000000  01 |.|"]
+    df = spark.createDataFrame([("c", v) for v in lines], "capture_id string, value string")
+    counted = rejected_lines(df)
+    assert counted.collect() == [("c", len(lines), len(lines) - parse_lines(df).count())]
+    assert "_by_place" in counted._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("kind", ["int", "bigint", "double", "string"])
 def test_distinct_values_are_gathered_as_bits(spark, kind):
     rows = spark.range(4000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 5 > 0, (F.col("id") * 37 % 701 - 350)).cast(kind).alias("v"))
